@@ -14,7 +14,7 @@ MAX_HOT = 10_000
 def attach_group(
     rows: DataFrame,
     groups: DataFrame,
-    key: str,
+    key: str | list[str],
     size: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
@@ -24,8 +24,17 @@ def attach_group(
 
     Rows of the largest groups never enter the shuffle; the remaining groups are small enough for one task.
     """
-    hot = F.broadcast(groups.where(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(max_hot))
-    probed = rows.join(hot, key, "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    hot = F.broadcast(groups.where(F.col(size) > hot_rows).orderBy(F.desc(size), *keys).limit(max_hot))
+    probed = rows.join(hot, keys, "left")
     hot_part = probed.where(F.col(size).isNotNull())
-    cold_part = probed.where(F.col(size).isNull()).select(*rows.columns).join(groups, key, how)
+    cold_part = probed.where(F.col(size).isNull()).select(*rows.columns).join(groups, keys, how)
     return hot_part.unionByName(cold_part)
+
+
+def without_hot(
+    rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT
+) -> DataFrame:
+    """Rows minus those of the largest unwanted groups, dropped before any shuffle on ``key``."""
+    hot = groups.where(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(max_hot)
+    return rows.join(F.broadcast(hot.select(key)), key, "left_anti")
