@@ -24,7 +24,9 @@ class DialPlan:
 DIAL_PLANS = {
     "US": DialPlan("1", "1", r"[2-9]\d{2}[2-9]\d{6}"),
     "CA": DialPlan("1", "1", r"[2-9]\d{2}[2-9]\d{6}"),
-    "GB": DialPlan("44", "0", r"(1\d{8,9}|2\d{9}|3\d{9}|7\d{9}|8\d{9}|9\d{9})"),
+    "GB": DialPlan(
+        "44", "0", r"(1\d{8,9}|2(0[01378]|[3489]\d)\d{7}|3[0347]\d{8}|7[1-57-9]\d{8}|8\d{9}|9[018]\d{8})"
+    ),
     "MX": DialPlan("52", "01", r"[1-9]\d{9}"),
     "AU": DialPlan("61", "0", r"[23478]\d{8}"),
     "DE": DialPlan("49", "0", r"[1-9]\d{5,12}"),

@@ -27,7 +27,7 @@ def country_context(value: Column | None, table: dict[str, str], default: str |
 
 def expand_address(value: Column, table: dict[str, str]) -> Column:
     """Each space-separated token replaced by its long form where the table has one."""
-    entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    entries = lookups.literal_map(table)
     tokens = F.transform(F.split(value, " "), lambda t: F.coalesce(F.try_element_at(entries, F.lower(t)), t))
     known = "|".join(sorted((_escape(k) for k in table), key=len, reverse=True))
     touched = F.lower(value).rlike(rf"(^| )({known})( |$)")

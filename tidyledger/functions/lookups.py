@@ -56,12 +56,20 @@ CA_PROVINCES = {
 CURRENCY_SYMBOLS = {"€": "EUR", "£": "GBP", "¥": "JPY"}
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """The table as one foldable map literal."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
 def probe(key: Column, table: dict[str, str]) -> Column:
     """Value of ``key`` in a literal table, null when it is absent."""
     if not table:
         return F.lit(None).cast("string")
-    entries = [F.lit(part) for pair in table.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def overlay(builtin: dict[str, str], tenant: dict[str, str]) -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,31 +14,49 @@ from tidyledger.session import ensure_checkpoint_dir
 
 
 def _roots(links: pd.DataFrame) -> pd.DataFrame:
-    """Lowest member of each component of one block's links."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for a, b in zip(links["rep"], links["head"]):
-        low, high = sorted((find(a), find(b)))
-        parent[high] = low
-    nodes = list(parent)
-    return pd.DataFrame(
-        {"rep": nodes, "block_key": links["block_key"].iloc[0], "canonical": [find(n) for n in nodes]}
-    )
+    """Lowest member of each component of the links of whole blocks."""
+    ends = np.concatenate([links["rep"].to_numpy(), links["head"].to_numpy()])
+    nodes, first, position = np.unique(ends, return_index=True, return_inverse=True)
+    a, b = position[: len(links)], position[len(links) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if np.array_equal(after, label):
+            break
+        label = after
+    blocks = np.concatenate([links["block_key"].to_numpy(), links["block_key"].to_numpy()])
+    return pd.DataFrame({"rep": nodes, "block_key": blocks[first], "canonical": nodes[label]})
+
+
+def _per_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches come sorted by block; the last block of a batch waits for the rest of it."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        is_last = batch["block_key"] == batch["block_key"].iloc[-1]
+        if not is_last.all():
+            yield _roots(pd.concat([*waiting, batch[~is_last]]))
+            waiting = []
+        elif waiting and waiting[-1]["block_key"].iloc[-1] != batch["block_key"].iloc[-1]:
+            yield _roots(pd.concat(waiting))
+            waiting = []
+        waiting.append(batch[is_last])
+    if waiting:
+        yield _roots(pd.concat(waiting))
 
 
 def components_by_block(edges: DataFrame) -> DataFrame:
-    """(rep, block_key, canonical) where no component leaves its block and blocks are capped in size."""
-    return edges.groupBy("block_key").applyInPandas(
-        _roots, "rep bigint, block_key string, canonical bigint"
-    )
+    """(rep, block_key, canonical) where no component leaves its block and blocks are capped in size.
+
+    Spark brings the links of a block together and sorts them; a task holds one Arrow batch and one block.
+    """
+    gathered = edges.select("rep", "head", "block_key").repartition("block_key").sortWithinPartitions("block_key")
+    return gathered.mapInPandas(_per_block, "rep bigint, block_key string, canonical bigint")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

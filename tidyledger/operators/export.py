@@ -63,13 +63,16 @@ class Export:
     @property
     def summary(self) -> DataFrame:
         source = self.table.frame.agg(F.count(F.lit(1))).scalar()
-        gone = self.dropped.agg(F.count(F.lit(1)).alias("excluded_row_count"))
-        groups = self.members.where(F.col(ROW) == F.col("canonical_row_index")).agg(F.count(F.lit(1))).scalar()
-        return gone.select(
-            source.alias("source_row_count"),
-            (source - F.col("excluded_row_count")).alias("row_count"),
+        canonical = F.col(ROW) == F.col("canonical_row_index")
+        counted = self.members.agg(
+            F.count_if(~canonical).alias("excluded_row_count"),
+            F.count_if(canonical).alias("duplicate_groups_materialized_count"),
+        )
+        return counted.withColumn("source_row_count", source).select(
+            "source_row_count",
+            (F.col("source_row_count") - F.col("excluded_row_count")).alias("row_count"),
             "excluded_row_count",
-            groups.alias("duplicate_groups_materialized_count"),
+            "duplicate_groups_materialized_count",
             F.lit(len(self.table.headers) + len(RESERVED)).alias("output_column_count"),
         )
 

@@ -64,7 +64,7 @@ class Match:
         limits: MatchLimits = MatchLimits(),
         audit: AuditLimits = AuditLimits(),
         run_id: str = "run",
-        checkpoint: bool = False,
+        checkpoint: bool = True,
     ):
         self.table, self.limits, self.audit, self.run_id = table, limits, audit, run_id
         self.checkpoint = checkpoint
@@ -322,10 +322,15 @@ class Match:
             "canonical", F.coalesce("canonical", "rep")
         )
 
+    @cached_property
+    def _cluster_sizes(self) -> DataFrame:
+        """(canonical, record_count)."""
+        return self._clusters.groupBy("canonical").agg(F.sum("row_size").alias("record_count"))
+
     @cached_property
     def groups(self) -> DataFrame:
         """(group_id, canonical_row_index, record_count, confidence_score)."""
-        groups = self._clusters.groupBy("canonical").agg(F.sum("row_size").alias("record_count"))
+        groups = self._cluster_sizes
         if self.rules is not None:
             groups = groups.join(self._group_scores, "canonical", "left")
         else:
@@ -345,18 +350,19 @@ class Match:
     def members(self) -> DataFrame:
         """(group_id, canonical_row_index, record_count, row_index) of every clustered row.
 
-        Keyed by row_index pairs (rep -> rows), joined without ever gathering a group.
+        Distinct rows are listed directly; copies get their group through the digest of their row, with the
+        largest groups broadcast. No group is ever gathered.
         """
-        sized = self._clusters.join(
-            self.groups.select(F.col("canonical_row_index").alias("canonical"), "group_id", "record_count"),
-            "canonical",
+        sized = self._clusters.join(self._cluster_sizes, "canonical").select(
+            "rep", F.col("canonical").alias("canonical_row_index"), "record_count"
+        )
+        firsts = sized.select("canonical_row_index", "record_count", F.col("rep").alias(ROW))
+        per_key = self.exact_groups.join(sized, "rep")
+        copies = attach_group(self.keyed.select("row_key", ROW), per_key, "row_key", "row_size")
+        copies = copies.where(F.col(ROW) != F.col("rep")).select("canonical_row_index", "record_count", ROW)
+        return firsts.unionByName(copies).select(
+            self.group_id(F.col("canonical_row_index")).alias("group_id"), "canonical_row_index", "record_count", ROW
         )
-        firsts = sized.select("group_id", F.col("canonical").alias("canonical_row_index"), "record_count", "rep")
-        copies = self.repeated_rows.where(F.col(ROW) != F.col("rep")).select(ROW, "rep", "row_size")
-        per_rep = firsts.join(self.exact_groups.select("rep", "row_size"), "rep")
-        attached = attach_group(copies.drop("row_size"), per_rep, "rep", "row_size").drop("row_size")
-        shown = ["group_id", "canonical_row_index", "record_count", ROW]
-        return firsts.withColumn(ROW, F.col("rep")).select(*shown).unionByName(attached.select(*shown))
 
     # ---- decision log -----------------------------------------------------------------------------
 
@@ -615,6 +621,6 @@ def match(
     limits: MatchLimits = MatchLimits(),
     audit: AuditLimits = AuditLimits(),
     run_id: str = "run",
-    checkpoint: bool = False,
+    checkpoint: bool = True,
 ) -> Match:
     return Match(table, rules, limits, audit, run_id, checkpoint)

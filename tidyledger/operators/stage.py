@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidyledger.functions.lookups import literal_map
 from tidyledger.functions.text import row_key
 from tidyledger.plans.order import first_rows
 from tidyledger.sources.tables import ROW, CellTable
@@ -101,10 +102,9 @@ class Trace:
         return first_rows(log, ROW, limit, ["step_order"])
 
     def _describe(self, what: str) -> Column:
-        chosen = F
-        for name, info in self.registry.items():
-            chosen = chosen.when(F.col("rule_name") == name, F.lit(getattr(info, what)))
-        return chosen.otherwise(F.lit(None))
+        facts = {name: str(getattr(info, what)) for name, info in self.registry.items()}
+        found = literal_map(facts)[F.col("rule_name")]
+        return found.cast("double") if what == "confidence" else found
 
     def changes_by_rule(self) -> DataFrame:
         """(rule_name, change_count, confidence): one narrow pass, one partial row per task."""

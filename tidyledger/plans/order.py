@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 1_000_000
 
 
-def bucket_of(index: str | Column, bucket_rows: int = BUCKET_ROWS) -> Column:
-    column = F.col(index) if isinstance(index, str) else index
-    return F.floor(column / F.lit(bucket_rows)).cast("long")
+def bucket_of(index: str, bucket_rows: int = BUCKET_ROWS) -> Column:
+    return F.expr(f"{index} div {bucket_rows}")
 
 
 def offsets(counts: DataFrame, order: Sequence[str], count: str = "count") -> DataFrame:
