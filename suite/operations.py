@@ -288,12 +288,16 @@ def retention_backlog(spark, sf_dir):
 
 # ---- review actions --------------------------------------------------------------------------------
 
-_ACTIONS = (
-    f"SELECT 'x' || CAST({O} AS STRING) || a AS action_id, 'c' || CAST({O} AS STRING) AS run_id,"
-    f" CASE WHEN a = '3' THEN 'rollback' WHEN ({O} + CAST(a AS INT)) % 3 = 0 THEN 'reject' ELSE 'approve' END AS action,"
-    f" 'u' || CAST(o_custkey % 9 AS STRING) AS actor, CAST(o_orderdate AS STRING) || a AS acted_at"
-    " FROM orders CROSS JOIN (VALUES ('1'), ('2'), ('3')) AS steps(a) WHERE o_orderpriority = '1-URGENT'"
-)
+def _step(a: str) -> str:
+    return (
+        f"SELECT 'x' || CAST({O} AS STRING) || '{a}' AS action_id, 'c' || CAST({O} AS STRING) AS run_id,"
+        f" CASE WHEN '{a}' = '3' THEN 'rollback' WHEN ({O} + {a}) % 3 = 0 THEN 'reject' ELSE 'approve' END AS action,"
+        f" 'u' || CAST(o_custkey % 9 AS STRING) AS actor, CAST(o_orderdate AS STRING) || '{a}' AS acted_at"
+        " FROM orders WHERE o_orderpriority = '1-URGENT'"
+    )
+
+
+_ACTIONS = " UNION ALL ".join(_step(a) for a in "123")
 _FIRST = "CASE WHEN ({o} + 1) % 3 = 0 THEN 'rejected' ELSE 'approved' END"
 _KEY = "CAST(substr(id, 2) AS BIGINT)"
 _ONE = _FIRST.format(o=_KEY)
@@ -388,12 +392,19 @@ _SETS = (
     " CASE WHEN p_partkey % 10 = 0 THEN 0.3 ELSE 0.9 END AS duplicate_threshold, 0.4 AS review_threshold,"
     " lpad(CAST(p_partkey AS STRING), 9, '0') AS created_at FROM part"
 )
+
+
+def _rule_field(column: str) -> str:
+    return (
+        f"SELECT 'r' || CAST(p_partkey AS STRING) AS rule_set_id, {column} AS column_name,"
+        " CASE WHEN p_partkey % 11 = 0 THEN 'fuzzy' ELSE 'exact' END AS comparison_type,"
+        f" CASE WHEN p_partkey % 13 = 0 THEN 0.0 ELSE 1.0 END AS weight FROM part WHERE p_size <> 50"
+    )
+
+
 _FIELDS = (
-    "SELECT 'r' || CAST(p_partkey AS STRING) AS rule_set_id, CASE WHEN s = '2' AND p_partkey % 7 = 0 THEN ' NAME' ELSE"
-    " CASE s WHEN '1' THEN 'name' ELSE 'email' END END AS column_name,"
-    " CASE WHEN p_partkey % 11 = 0 THEN 'fuzzy' ELSE 'exact' END AS comparison_type,"
-    " CASE WHEN p_partkey % 13 = 0 THEN 0.0 ELSE 1.0 END AS weight FROM part CROSS JOIN (VALUES ('1'), ('2')) AS f(s)"
-    " WHERE p_size <> 50"
+    _rule_field("'name'") + " UNION ALL "
+    + _rule_field("CASE WHEN p_partkey % 7 = 0 THEN ' NAME' ELSE 'email' END")
 )
 _PROBLEMS = f"""WITH sets AS ({_SETS}), fields AS ({_FIELDS}),
     bad AS (SELECT s.id, CASE WHEN review_threshold >= duplicate_threshold THEN 'review_not_below_duplicate'

@@ -89,7 +89,7 @@ def read_headers(spark: SparkSession, path: str, delimiter: str) -> tuple[str, .
     if first is None:
         raise ScanError("source is empty")
     headers = [(h or "").strip() for h in first]
-    headers[0] = headers[0].lstrip("﻿")
+    headers[0] = headers[0].lstrip("\ufeff")
     return tuple(headers)
 
 

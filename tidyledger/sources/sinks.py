@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +60,21 @@ def append_once(new: DataFrame, path: str, key: str = "task_run_id") -> None:
     Partitioned by tenant, so every later query prunes to one.
     """
     spark = new.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(key).distinct()
-        new = new.join(stored, key, "left_anti")
-    except Exception as missing:  # noqa: BLE001 - only a path that does not exist yet is expected here
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    stored = read_if_present(spark, path)
+    if stored is not None:
+        new = new.join(stored.select(key).distinct(), key, "left_anti")
     new.write.mode("append").partitionBy("organization_id").parquet(path)
 
 
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_audit(spark: SparkSession, path: str, organization_id: str) -> DataFrame:
     """One tenant's audit rows: the tenant predicate prunes partitions."""
     return spark.read.parquet(path).where(F.col("organization_id") == organization_id)
