@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's (?U)\s covers the Unicode White_Space property; the four information separators
-# U+001C..U+001F also count as blanks here.
-SPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
+# The characters that count as whitespace.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_CLASS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Only what has to change: a run of two or more, or a single one that is no plain space.
+_UNEVEN = rf"[{_CLASS}]{{2,}}|[{_CLASS}&&[^ ]]"
 
 
 def squeeze(value: Column) -> Column:
     """Strip, and turn every run of whitespace into one space."""
-    return F.trim(F.regexp_replace(value, SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(value, _UNEVEN, " "))
 
 
 def strip(value: Column) -> Column:
     """Strip both ends only."""
-    return F.regexp_replace(value, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def fold(value: Column) -> Column:
@@ -53,7 +56,7 @@ def normalize_email(email: Column) -> Column:
 
 def header_key(header: Column) -> Column:
     """Header as compared with the classification patterns: lower-case, no blanks, dashes or underscores."""
-    return F.regexp_replace(F.lower(header), r"(?U)[\s\x1C-\x1F_-]+", "")
+    return F.regexp_replace(F.lower(header), rf"[{_CLASS}_\-]+", "")
 
 
 def row_key(cells: list[str]) -> Column:
