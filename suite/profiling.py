@@ -143,7 +143,7 @@ def table_profile(spark, sf_dir):
 @query(
     "type_histogram",
     f"""WITH cells AS ({long_sql(TABLES["lineitem"][0], TABLES["lineitem"][1], "lineitem")})
-    SELECT 'c' || CAST(position AS VARCHAR) AS cell, {TYPE_SQL} AS value_type, count(*) AS n FROM cells
+    SELECT position, {TYPE_SQL} AS value_type, count(*) AS n FROM cells
     WHERE v <> '' GROUP BY ALL""",
 )
 def type_histogram(spark, sf_dir):

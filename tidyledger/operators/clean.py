@@ -12,6 +12,7 @@ from tidyledger.config import CLEANING_VERSION, AuditLimits
 from tidyledger.functions import numbers, temporal, text, values
 from tidyledger.operators import profile
 from tidyledger.operators.stage import RuleInfo, Trace, duplicate_count, missing_count
+from tidyledger.plans.onerow import beside
 from tidyledger.sources.tables import CellTable
 
 # Rule names, confidences and reasons.
@@ -73,12 +74,8 @@ class CleanResult:
             F.col("missing_value_total").alias("post_clean_missing_value_total"),
             F.col("duplicate_row_count").alias("post_clean_duplicate_row_count"),
         )
-        one = F.lit(1).alias("_one")
-        parts = [duplicate_count(cleaned), self.trace.summary(), after]
-        joined = parts[0].withColumn("_one", one)
-        for part in parts[1:]:
-            joined = joined.join(part.withColumn("_one", one), "_one")
-        return joined.drop("_one").withColumn("cleaning_engine_version", F.lit(CLEANING_VERSION))
+        joined = beside(duplicate_count(cleaned), self.trace.summary(), after)
+        return joined.withColumn("cleaning_engine_version", F.lit(CLEANING_VERSION))
 
 
 def trace_clean(table: CellTable, column_types: Sequence[str]) -> Trace:
@@ -86,7 +83,8 @@ def trace_clean(table: CellTable, column_types: Sequence[str]) -> Trace:
     trace = Trace.start(table, RULES, CLEANING_VERSION, "cleaned_value")
     columns = range(len(table.headers))
     trim, blank = (("trim_whitespace", None),), (("normalize_blank", None),)
-    trace.level("t", [(i, text.squeeze(F.col(trace.latest[i])), trim, None) for i in columns])
+    loose = [i for i in columns if f"c{i}" not in table.tidy]
+    trace.level("t", [(i, text.squeeze(F.col(trace.latest[i])), trim, None) for i in loose])
     trace.level("b", [(i, values.blank(F.col(trace.latest[i])), blank, None) for i in columns])
     typed = [i for i in columns if column_types[i] in _COERCIONS]
     trace.level(

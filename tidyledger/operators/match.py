@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidyledger.config import MATCHING_VERSION, AuditLimits, MatchField, MatchLimits, MatchRules
 from tidyledger.functions.text import fold, row_key
 from tidyledger.operators.components import components_by_block, connected_components
+from tidyledger.plans.onerow import beside
 from tidyledger.plans.order import bucket_of, first_rows, next_in_group, offsets
 from tidyledger.plans.skew import HOT_ROWS, attach_group, without_hot
 from tidyledger.session import ensure_checkpoint_dir
@@ -565,23 +566,18 @@ class Match:
             F.coalesce(F.min("confidence_score"), F.lit(1.0)).alias("confidence_score"),
         )
         zero = F.lit(0).cast("long")
-        one = F.lit(1)
-        joined = rows.withColumn("_one", one).join(groups.withColumn("_one", one), "_one")
         if self.rules is not None:
             pairs = self.block_pairs.agg(
-                *[
-                    F.coalesce(F.sum(c), zero).alias(c)
-                    for c in ("comparisons", "duplicates", "ambiguous")
-                ]
+                *[F.coalesce(F.sum(c), zero).alias(c) for c in ("comparisons", "duplicates", "ambiguous")]
             )
             cap = self.limits.max_block_size
             skipped = self.blocks.agg(
                 (F.count_if(F.col("block_size") > cap) if cap is not None else zero).alias("skipped_block_count")
             )
-            joined = joined.join(pairs.withColumn("_one", one), "_one").join(skipped.withColumn("_one", one), "_one")
+            joined = beside(rows, groups, pairs, skipped)
             rule_name = self._rule_name
         else:
-            joined = joined.withColumns(
+            joined = beside(rows, groups).withColumns(
                 {c: zero for c in ("comparisons", "duplicates", "ambiguous", "skipped_block_count")}
             )
             rule_name = COMPOSITE

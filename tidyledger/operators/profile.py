@@ -19,12 +19,16 @@ _SHORT = 63
 
 
 def _stripped(table: CellTable) -> DataFrame:
-    return table.frame.select(ROW, *[strip(F.col(c)).alias(c) for c in table.cells])
+    cells = [F.col(c) if c in table.tidy else strip(F.col(c)).alias(c) for c in table.cells]
+    return table.frame.select(ROW, *cells)
 
 
 def _long_cells(table: CellTable) -> DataFrame:
-    """One row per non-blank cell: (row_index, cell, value)."""
-    long = _stripped(table).unpivot([ROW], table.cells, "cell", "value")
+    """One row per non-blank cell: (row_index, cell, value), ``cell`` being the column's position.
+
+    An exploded array, as its exchange can be reused by Spark, which that of an unpivot is not.
+    """
+    long = _stripped(table).select(ROW, F.posexplode(F.array(*table.cells)).alias("cell", "value"))
     return long.where(F.col("value") != "")
 
 
@@ -43,14 +47,14 @@ def _distinct_values(table: CellTable) -> DataFrame:
 
 
 def _headers(table: CellTable) -> DataFrame:
-    rows = [(c, i, h) for i, (c, h) in enumerate(zip(table.cells, table.headers))]
-    return table.frame.sparkSession.createDataFrame(rows, "cell string, position int, name string")
+    rows = [(i, i, h) for i, h in enumerate(table.headers)]
+    return table.frame.sparkSession.createDataFrame(rows, "cell int, position int, name string")
 
 
 def type_counts(table: CellTable) -> DataFrame:
-    """(cell, value_type, n) histogram of non-blank cells."""
+    """(position, value_type, n) histogram of non-blank cells."""
     typed = _distinct_values(table).withColumn("value_type", F.coalesce("long_type", cell_type(F.col("key"))))
-    return typed.groupBy("cell", "value_type").agg(F.sum("n").alias("n"))
+    return typed.groupBy(F.col("cell").alias("position"), "value_type").agg(F.sum("n").alias("n"))
 
 
 def _stats(values: DataFrame) -> DataFrame:
@@ -65,6 +69,8 @@ def _stats(values: DataFrame) -> DataFrame:
         F.min("first_row").alias("first_row"),
         *per_type,
     )
+    # Always true; it keeps first_row in use, so that this and _first_seen read one and the same shuffle.
+    stats = stats.where(F.col("first_row").isNotNull())
     counts = [F.col(f"n_{t}") for t in TYPE_PRIORITY]
     top = F.greatest(*counts)
     stats = stats.withColumn("_top", top)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidyledger import config
 from tidyledger.operators import classify, clean, export, profile, standardize
 from tidyledger.operators.match import match
+from tidyledger.plans.onerow import beside
 from tidyledger.sources import sinks
 from tidyledger.sources.csv import CsvScan, read_csv
 from tidyledger.sources.tables import CellTable
@@ -68,7 +69,7 @@ class Workspace:
         files: DataFrame | None = None,
     ) -> None:
         if files is not None:
-            summary = summary.withColumn("_one", F.lit(1)).join(files.withColumn("_one", F.lit(1)), "_one").drop("_one")
+            summary = beside(summary, files)
         stamped = summary.withColumns(
             {
                 "source_task_run_id": F.lit(source).cast("string"),

@@ -7,18 +7,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from tidyledger.plans.order import offsets
 
 ROW = "row_index"
+_TIDY_TYPES = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
 @dataclass(frozen=True)
 class CellTable:
-    """Text cells ``c0..cN`` plus ``row_index``; ``headers`` may repeat or be blank."""
+    """Text cells ``c0..cN`` plus ``row_index``; ``headers`` may repeat or be blank.
+
+    ``tidy`` names cells that cannot hold stray whitespace because they come from numbers or dates.
+    """
 
     frame: DataFrame
     headers: tuple[str, ...]
+    tidy: frozenset[str] = frozenset()
 
     @property
     def cells(self) -> list[str]:
@@ -42,7 +48,8 @@ def from_frame(frame: DataFrame, row_index: str, columns: Sequence[str] | None =
     """Cells of a typed frame as text, indexed by one of its own unique, ordered columns."""
     columns = list(columns) if columns is not None else [c for c in frame.columns if c != row_index]
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(columns)]
-    return CellTable(frame.select(F.col(row_index).cast("long").alias(ROW), *cells), tuple(columns))
+    tidy = frozenset(f"c{i}" for i, c in enumerate(columns) if isinstance(frame.schema[c].dataType, _TIDY_TYPES))
+    return CellTable(frame.select(F.col(row_index).cast("long").alias(ROW), *cells), tuple(columns), tidy)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> CellTable:
