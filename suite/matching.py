@@ -56,7 +56,7 @@ def people_sql(cap: int, single: bool) -> str:
               JOIN blocks ON blocks.bk = a.bk AND block_size <= {cap}),
     judged AS (SELECT *, CASE WHEN score >= {high} THEN 'duplicate' WHEN score >= 0.4 THEN 'ambiguous' END AS decision FROM pairs),
     edges AS (SELECT a, b, score FROM judged WHERE decision = 'duplicate'
-              UNION ALL SELECT row_index, nxt, 1.0 FROM keyed WHERE nxt IS NOT NULL),
+              UNION ALL SELECT row_index, nxt, CAST(1.0 AS DOUBLE) FROM keyed WHERE nxt IS NOT NULL),
     both_ways AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges),
     reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y),
     member AS (SELECT x AS row_index, least(x, min(y)) AS canonical FROM reach GROUP BY x),
@@ -154,17 +154,17 @@ def match_pair_counts(spark, sf_dir):
 
 
 _LOGGED = f"""{people_sql(CAP, False)},
-    log AS (SELECT 1 AS stage, rep AS o, CAST(NULL AS VARCHAR) AS blocking_key, row_index AS a, nxt AS b, 1.0 AS score, 'duplicate' AS decision,
+    log AS (SELECT 1 AS stage, rep AS o, CAST(NULL AS VARCHAR) AS blocking_key, row_index AS a, nxt AS b, CAST(1.0 AS DOUBLE) AS score, 'duplicate' AS decision,
                    'exact_row_match' AS rule_name FROM keyed WHERE nxt IS NOT NULL
             UNION ALL SELECT 2, 0, bk, a, b, score, decision, 'composite_weighted_match' FROM judged WHERE decision IS NOT NULL)
     SELECT blocking_key, a AS record_a_row_index, b AS record_b_row_index, round(score, 9) AS total_score, decision,
            rule_name, CASE WHEN decision = 'duplicate' THEN canonical END AS canonical_row_index
-    FROM log LEFT JOIN member ON row_index = a ORDER BY stage, o, blocking_key, a, b LIMIT 1200"""
+    FROM log LEFT JOIN member ON row_index = a ORDER BY stage, o, blocking_key, a, b LIMIT 9000"""
 
 
 @query("match_decision_log_cap", _LOGGED)
 def match_decision_log_cap(spark, sf_dir):
-    run = match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP), AuditLimits(max_decisions=1200))
+    run = match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP), AuditLimits(max_decisions=9000))
     owners = run.groups.select(F.col("group_id").alias("match_group_id"), "canonical_row_index")
     return run.decisions.join(owners, "match_group_id", "left").select(
         "blocking_key", "record_a_row_index", "record_b_row_index", F.round("total_score", 9).alias("total_score"),
