@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyledger.llm import exact, simhash
-from tidyledger.session import tune
+from tidyledger.session import ensure_checkpoint_dir, tune
 
 NUMBER = "_pipeline_row"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -42,3 +42,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("simhash_near_dedup", near_dedup)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what a stage returns is stored in the shared folder and read again."""
+    tune(spark)
+    ensure_checkpoint_dir(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
