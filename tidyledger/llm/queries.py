@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import exact, simhash
+from tidyledger.llm import decontaminate, exact, packing, simhash
 from tidyledger.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,34 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
+
+
+@query
+def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated_cells(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "text", "text", "doc_id", "item_id"
+    )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        F.col("row_index").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("entry_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("entry_ids", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    packed = packing.packed_cells(documents, "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    return packed.select(
+        F.col("row_index").alias("doc_id"),
+        "piece",
+        "start",
+        F.col("length").cast("long").alias("length"),
+        "ids_crc32",
+        "sequence_id",
+        "offset",
+    )
