@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import exact, simhash
+from tidyledger.llm import decontaminate, exact, packing, quality, simhash
+from tidyledger.llm.queries import GOOD, quality_model
 from tidyledger.session import ensure_checkpoint_dir, tune
 
 NUMBER = "_pipeline_row"
@@ -27,6 +29,12 @@ def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys.select(F.col("row_key").alias(NUMBER)), NUMBER, "left_semi").drop(NUMBER)
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from labels of documents at this stage."""
+    model = quality_model(spark, docs, sf_dir)
+    return docs.where(quality.probability(F.col("text"), model) >= GOOD)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     docs = _numbered(docs)
@@ -41,7 +49,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _chosen(docs, found.where("is_canonical"))
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("simhash_near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that quote ten or more words in a row of a benchmark item go."""
+    docs = _numbered(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated_cells(docs, items, "text", "text", "doc_id", "item_id", NUMBER)
+    return _chosen(docs, found.where(F.size("spans") == 0))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left."""
+    found = packing.packed_cells(docs, "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    return found.withColumnRenamed("row_index", "doc_id").drop("row_key")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("sum_of_squares_packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import decontaminate, exact, packing, simhash
+from tidyledger.llm import decontaminate, exact, packing, quality, simhash, toxicity
 from tidyledger.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,45 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(doc_id: str, parts: int):
+    return F.crc32(F.col(doc_id).cast("string")) % parts
+
+
+@query
+def op1_toxicity_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    seen = labels.where(_remainder("doc_id", 3) != 1).select("doc_id", "toxic")
+    model = toxicity.fit(documents, seen, "text", "toxic", "doc_id")
+    scored = toxicity.toxic_cells(documents, "text", model, "doc_id")
+    return scored.select(
+        F.col("row_index").alias("doc_id"),
+        (_remainder("row_index", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_quality_by_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    scored = quality.good_cells(documents, "text", quality_model(spark, documents, sf_dir), "doc_id")
+    return scored.select(
+        F.col("row_index").alias("doc_id"),
+        (_remainder("row_index", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
+GOOD = 0.3  # score from which a document counts as good
+
+
+def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> bytes:
+    """Fitted on labelled documents outside the held-out fifth."""
+    seen = load(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0).select("doc_id", "quality")
+    return quality.fit(documents, seen, "text", "quality", "doc_id")
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"), "text", "doc_id")
