@@ -21,12 +21,18 @@ ORACLE_SQL = None
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(NUMBER, F.monotonically_increasing_id())
+    """Documents under a number that depends on nothing but themselves, so that any later scan gives the same one."""
+    return docs.withColumn(NUMBER, F.xxhash64("doc_id", "text"))
 
 
 def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of numbered documents whose number is among the operator's ``row_key``, without the number."""
-    return docs.join(keys.select(F.col("row_key").alias(NUMBER)), NUMBER, "left_semi").drop(NUMBER)
+    """Rows of numbered documents whose number is among the operator's ``row_key``."""
+    return docs.join(keys.select(F.col("row_key").alias(NUMBER)), NUMBER, "left_semi")
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """Rows that repeat a doc_id and its text are one document."""
+    return docs.dropDuplicates([NUMBER]).drop(NUMBER)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +45,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     docs = _numbered(docs)
     found = exact.exact_duplicates(docs, "text", "doc_id", NUMBER)
-    return _chosen(docs, found.where("is_canonical"))
+    return _once(_chosen(docs, found.where("is_canonical")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     docs = _numbered(docs)
     found = simhash.near_duplicates(docs, "text", "doc_id", NUMBER)
-    return _chosen(docs, found.where("is_canonical"))
+    return _once(_chosen(docs, found.where("is_canonical")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = _numbered(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated_cells(docs, items, "text", "text", "doc_id", "item_id", NUMBER)
-    return _chosen(docs, found.where(F.size("spans") == 0))
+    return _chosen(docs, found.where(F.size("spans") == 0)).drop(NUMBER)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
