@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import decontaminate, exact, packing, quality, simhash, toxicity
+from tidyledger.llm import chat, decontaminate, disclosure, exact, html_text, packing, quality, simhash, toxicity
 from tidyledger.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,74 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query
+def op2_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.disclosing_cells(load(spark, sf_dir, "documents"), "text", "doc_id")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != disclosure.TERM)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("row_index").alias("doc_id"),
+        *[count(kind) for kind in disclosure.KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query
+def op3_relational_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
+    made = chat.formatted_chats(turns.unionByName(control), "conv_id")
+    told = made.withColumn("turns", chat.read_turns("formatted"))
+    told = told.withColumn("learned", chat.read_trained("formatted", "loss_mask"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return told.select(
+        F.col("chat_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op3_relational_chat_format"] = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v (n, r)
+), e AS (
+    SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+        length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS text_chars,
+        length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS role_chars
+    FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), g AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+        CAST(sum(text_chars + CASE WHEN before IS DISTINCT FROM role THEN 7 + role_chars ELSE 6 END
+            + CASE WHEN after IS DISTINCT FROM role THEN 8 ELSE 0 END) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+    formatted_chars
+FROM g
+"""
+
+
+@query
+def op9_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html_text.extracted(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
