@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import chat, decontaminate, disclosure, exact, html_text, packing, quality, simhash, toxicity
+from tidyledger.llm import backoff, chat, decontaminate, disclosure, exact, html_text, packing, quality, simhash, toxicity
 from tidyledger.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,10 @@ def op9_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     found = pages.select("page_id", "url", html_text.extracted(F.col("html")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op7_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    found = backoff.backoff_scores(documents, "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    return found.select(F.col("row_index").alias("doc_id"), "n_tokens", "score", "mean_score")
