@@ -148,7 +148,7 @@ def _sanitised(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
 
 def sanitised(cell: Column, spans: Column) -> Column:
     """Cell with each span replaced by its kind in brackets; a part of a span that an earlier one covers goes."""
-    return F.arrow_udf(_sanitised, "string", F.ArrowUDFType.SCALAR_ITER)(F.coalesce(cell, F.lit("")), spans)
+    return F.arrow_udf(_sanitised, "string")(F.coalesce(cell, F.lit("")), spans)
 
 
 def disclosing_cells(

@@ -22,6 +22,7 @@ BLOCK = set(
     " dialog menu".split()
 )
 AROUND_P = BLOCK - {"p"}  # a paragraph holds no block, so an open one lies within the innermost other block
+PARTS = set("tr thead tbody tfoot ul ol dl".split())  # no containers of their own: points go to what holds them
 SCORED = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 WHOLE = {"html", "body", "main", "article"}  # never dropped for their names
 ENDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
@@ -206,9 +207,12 @@ def main_text(html: str) -> str:
         if not own or not node.chars or id(node) in gone or not node.parent:
             continue
         points = (1 + node.commas + min(node.chars / 100, 3)) * (1 - node.density)
-        node.parent.score += points
-        if node.parent.parent:
-            node.parent.parent.score += points / 2
+        above = node.parent
+        while above.tag in PARTS and above.parent:
+            above = above.parent
+        above.score += points
+        if above.parent:
+            above.parent.score += points / 2
     held = [n for n in nodes if n.score > 0 and id(n) not in gone]
     if not held:
         return "\n\n".join(b for b in _blocks(nodes[0]) if b)
@@ -240,7 +244,7 @@ def extracted(cell: Column) -> Column:
         for pages in batches:
             yield pa.array([main_text(p or "") for p in pages.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(cell)
+    return F.arrow_udf(run, "string")(cell)
 
 
 def extracted_cells(rows: DataFrame, cell: str, row_index: str = ROW) -> DataFrame:

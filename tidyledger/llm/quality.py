@@ -166,7 +166,7 @@ def fitted(texts: list[bytes], labels: np.ndarray) -> Model:
     # A word's own index vector takes part, so that words of few contexts differ too.
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = (vectors / np.maximum(norm, 1) + index / np.sqrt(NONZERO)).astype(np.float32)
-    x = np.array([pooled(own, vectors) for own in numbers], np.float64).reshape(len(texts), -1)
+    x = np.array([pooled(own, vectors) for own in numbers], np.float64).reshape(len(texts), 2 * WIDTH + 2)
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         flat = np.zeros(2 * WIDTH + 2)
@@ -216,9 +216,9 @@ def probability(cell: Column, model: bytes) -> Column:
         loaded, read = Model.load(model), reader()
         for texts in batches:
             found = [pooled(read(t or b""), loaded.vectors) for t in texts.cast(pa.binary()).to_pylist()]
-            yield pa.array(loaded.probability(np.array(found, np.float64).reshape(len(found), -1)), pa.float64())
+            yield pa.array(loaded.probability(np.array(found, np.float64).reshape(len(found), 2 * WIDTH + 2)), pa.float64())
 
-    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(cell)
+    return F.arrow_udf(run, "double")(cell)
 
 
 def good_cells(rows: DataFrame, cell: str, model: bytes, row_index: str = ROW) -> DataFrame:

@@ -191,7 +191,7 @@ def probability(cell: Column, model: bytes) -> Column:
         for texts in batches:
             yield pa.array([score(t or b"") for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
 
-    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(cell)
+    return F.arrow_udf(run, "double")(cell)
 
 
 def toxic_cells(rows: DataFrame, cell: str, model: bytes, row_index: str = ROW) -> DataFrame:
