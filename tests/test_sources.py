@@ -7,7 +7,7 @@ from tidyledger import config
 from tidyledger.operators import profile
 from tidyledger.plans import audit, review_actions, stages, verify
 from tidyledger.sources import csv, sinks
-from tidyledger.sources.tables import from_frame, read_parquet, read_tenant
+from tidyledger.sources.tables import CellTable, from_frame, read_parquet, read_tenant
 from tidyledger.streaming import rowlocal
 
 
@@ -207,3 +207,41 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     other = rowlocal.standardize_stream(stream, "c_custkey", ["person_name", None])
     rowlocal.write_available(other, str(tmp_path / "out2"), str(tmp_path / "ckpt2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out2")).count() == frame.count()
+
+
+def test_blank_records_long_cells_and_line_breaks(spark, tmp_path):
+    long = "x" * 100_000
+    path = put(tmp_path, "odd.csv", f'"a\nx",b\n1,2\n\n"{long}",4\n"p\n\nq","r ""s"""\n5" pipe,6\n')
+    scan = csv.read_csv(spark, path)
+    assert scan.table.headers == ("a\nx", "b")
+    assert rows_of(scan.table) == [("1", "2"), ("", ""), (long, "4"), ("p\n\nq", 'r "s"'), ('5" pipe', "6")]
+    assert [(r.type, r.row_number, r.field_count) for r in scan.issues.collect()] == [("too_few_fields", 3, 0)]
+
+
+def test_a_folder_of_differing_headers_is_refused(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "f" / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(csv.ScanError):
+        csv.read_csv(spark, str(tmp_path / "f"))
+
+
+def test_delimiter_of_the_first_characters(spark, tmp_path):
+    text = "a;b\n1;2\n" + "3;4\n" * 3000 + "5,6,7,8\n" * 50
+    assert csv.detect_delimiter(spark, put(tmp_path, "s.csv", text)) == ";"
+    assert csv.header_issues(("A", "", "a", "ß", "SS", "")) == [
+        ("blank_header", 1, None), ("blank_header", 5, None), ("duplicate_header", 2, 0),
+        ("duplicate_header", 4, 3), ("duplicate_header", 5, 1),
+    ]
+
+
+def test_written_cells_and_headers_are_exact(spark, tmp_path):
+    rows = [(0, "  lead", "tail  "), (1, "", "a\nb"), (2, 'q"', ""), (3, "1", " ")]
+    frame = spark.createDataFrame(rows, "row_index bigint, h string, i string")
+    table = CellTable(from_frame(frame, "row_index").frame, ("h", "h"))
+    for single in (True, False):
+        path = sinks.write_csv(table, str(tmp_path / str(single)), "org", "run", single)
+        back = csv.read_csv(spark, path + "/part-*", delimiter=",").table
+        assert back.headers == ("h", "h") and rows_of(back) == [r[1:] for r in rows]
+    none = CellTable(table.frame.limit(0), ("h", "h"))
+    assert spark.read.text(sinks.write_csv(none, str(tmp_path / "none"), "org", "run")).collect()[0][0] == "h,h"

@@ -125,7 +125,8 @@ def filtered(tables: dict[str, DataFrame], organization_id: str, filters: Filter
     as_uuid = _as_uuid(term)
     if as_uuid is not None:
         return items.where((F.col("task_id") == as_uuid) | (F.col("reference_id") == as_uuid))
-    like = f"%{term.lower()}%"
+    # Wildcards of the term stay live; a backslash is an ordinary character.
+    like = f"%{term.lower()}%".replace("\\", "\\\\")
     tasks = tables["tasks"].select(F.col("id").alias("task_id"), F.lower("name").alias("_task"))
     sources = tables["data_sources"].select(F.col("id").alias("data_source_id"), F.lower("name").alias("_source"))
     named = items.join(tasks, "task_id", "left").join(sources, "data_source_id", "left")

@@ -1,14 +1,15 @@
 """CSV scan: header row, text cells, structural issues, limits, fingerprints.
 
-The raw record of every row is kept while parsing so that its true field count is known; rows get their
-position from (file, block, order inside the block).
+Text is read in lines and put together to records, so that blank records stay, every record's true field count is
+known, and files are split; rows get their position from (file, block, order inside the block).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -20,7 +21,6 @@ from tidyledger.sources.tables import ROW, CellTable
 # Accepted delimiters and how much text decides between them.
 DELIMITERS = (",", ";", "\t", "|")
 SNIFFED_CHARS = 8192
-_RAW = "_raw"
 
 
 class ScanError(ValueError):
@@ -49,62 +49,91 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter splitting the first lines most evenly; a comma when none does.
-
-    Only the first characters of one file are looked at.
-    """
-    lines = spark.read.text(path).limit(200)
-    text = lines.withColumn("value", F.regexp_replace("value", '"[^"]*"', ""))
-    counts = text.agg(
-        *[
-            F.struct(
-                F.min(_times(d)).alias("low"), F.max(_times(d)).alias("high"), F.first(_times(d)).alias("head")
-            ).alias(f"d{i}")
-            for i, d in enumerate(DELIMITERS)
-        ]
-    ).first()
-    best, best_rank = ",", (False, 0)
-    for i, d in enumerate(DELIMITERS):
-        c = counts[f"d{i}"]
-        if c["head"]:
-            rank = (c["low"] == c["high"], c["head"])
-            if rank > best_rank:
-                best, best_rank = d, rank
-    return best
+    """Delimiter splitting the first characters of the first file most evenly; a comma when none does."""
+    first = spark.read.text(path).select(F.min("_metadata.file_path")).first()[0]
+    # A line is one character at least, so so many lines hold all the text that decides.
+    lines = spark.read.text(first).limit(SNIFFED_CHARS).select(F.substring("value", 1, SNIFFED_CHARS)).collect()
+    text = re.sub('"[^"]*"', "", "\n".join(r[0] for r in lines)[:SNIFFED_CHARS])
+    whole = [line for line in text.split("\n") if line]
+    counts = {d: [line.count(d) for line in whole] for d in DELIMITERS}
+    ranks = {d: (len(set(n)) == 1, n[0]) for d, n in counts.items() if n and n[0]}
+    return max(ranks, key=ranks.get, default=",")
 
 
-def _times(delimiter: str) -> Column:
-    head = F.substring("value", 1, SNIFFED_CHARS)
-    return F.length(head) - F.length(F.translate(head, delimiter, ""))
+def _quotes(line: Column, delimiter: str) -> Column:
+    """Quotes that open or close a cell: those next to a delimiter or the end of a line."""
+    sep = re.escape(delimiter)
+    kept = F.regexp_replace(line, f'(?:^|(?<={sep}))"|"(?={sep}|$)', "\u0000")
+    return F.length(kept) - F.length(F.translate(kept, "\u0000", ""))
 
 
 def _field_count(raw: Column, delimiter: str) -> Column:
-    """Fields of a raw record: delimiters outside quotes, plus one."""
-    unquoted = F.regexp_replace(raw, r'"([^"]|"")*"', "")
-    return F.length(unquoted) - F.length(F.translate(unquoted, delimiter, "")) + 1
+    """Fields of a record: delimiters outside quotes, plus one; none in a blank record."""
+    unquoted = F.regexp_replace(raw, '"[^"]*+"', "")
+    fields = F.length(unquoted) - F.length(F.translate(unquoted, delimiter, "")) + 1
+    return F.when(raw == "", 0).otherwise(fields)
 
 
-def read_headers(spark: SparkSession, path: str, delimiter: str) -> tuple[str, ...]:
-    first = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').csv(path).limit(1).first()
-    if first is None:
+def records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+    """(file, record, text) of all records, blank ones too; record 0 of a file is its header.
+
+    Lines are read in splits of any size. A line opens a record unless the quotes before it in its file leave a cell
+    open; what a split adds to that count is found per split, so no file is gone through by one task. Only records
+    with line breaks inside are put together by a shuffle.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seen"),
+        F.col("value").alias("line"),
+    )
+    # The order inside a block is only final once written: read once into the shared checkpoint folder.
+    ensure_checkpoint_dir(spark)
+    lines = lines.withColumn("quotes", _quotes(F.col("line"), delimiter)).checkpoint()
+    inside = Window.partitionBy("file", "block").orderBy("seen").rowsBetween(Window.unboundedPreceding, -1)
+    by_block = lines.groupBy("file", "block").agg(F.sum("quotes").alias("count"))
+    running = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_block.select("file", "block", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("before"))
+    open_quotes = F.col("before") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))
+    opened = lines.join(before, ["file", "block"]).withColumn("opens", (open_quotes % 2 == 0).cast("int"))
+    starts = opened.groupBy("file", "block").agg(F.sum("opens").alias("count"))
+    first = starts.select("file", "block", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("first"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = opened.join(first, ["file", "block"]).withColumn("record", F.col("first") + F.sum("opens").over(upto) - 1)
+    if lines.where("quotes % 2 = 1").isEmpty():
+        return placed.select("file", "record", F.col("line").alias("text"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "seen", "line")))
+    return placed.groupBy("file", "record").agg(F.array_join(parts["line"], "\n").alias("text"))
+
+
+def read_headers(heads: DataFrame, delimiter: str) -> tuple[str, ...]:
+    """Column names of all files; those of a folder must have the same ones in the same order."""
+    bare = F.regexp_replace("text", "^\ufeff", "")
+    distinct = heads.select(bare.alias("text")).distinct().limit(2).collect()
+    if not distinct:
         raise ScanError("source is empty")
-    headers = [(h or "").strip() for h in first]
-    headers[0] = headers[0].lstrip("\ufeff")
-    return tuple(headers)
+    if len(distinct) > 1:
+        raise ScanError("the files of a folder differ in their headers")
+    line = heads.select(bare.alias("text")).limit(1)
+    width = line.select(_field_count(F.col("text"), delimiter)).first()[0]
+    row = line.select(_parsed(F.col("text"), max(width, 1), delimiter).alias("r")).first()["r"]
+    return tuple((h or "").strip() for h in row)
+
+
+def _parsed(text: Column, width: int, delimiter: str) -> Column:
+    """Record as a struct of ``width`` text fields."""
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(width + 20_000)}
+    return F.from_csv(text, F.lit(schema.simpleString()), options)
 
 
 def header_issues(headers: tuple[str, ...]) -> list[tuple]:
     """Blank and repeated headers: (type, column_index, first_column_index)."""
-    found, seen = [], {}
-    for i, h in enumerate(headers):
-        if not h:
-            found.append(("blank_header", i, None))
-        key = h.casefold()
-        if key in seen:
-            found.append(("duplicate_header", i, seen[key]))
-        else:
-            seen[key] = i
-    return found
+    folded = [h.casefold() for h in headers]
+    last = len(folded) - 1
+    first = {key: last - i for i, key in enumerate(reversed(folded))}
+    blank = [("blank_header", i, None) for i, h in enumerate(headers) if not h]
+    return blank + [("duplicate_header", i, first[key]) for i, key in enumerate(folded) if first[key] != i]
 
 
 def read_csv(
@@ -125,38 +154,22 @@ def read_csv(
         raise ScanError("file exceeds the size limit")
 
     delimiter = delimiter or detect_delimiter(spark, path)
-    headers = read_headers(spark, path, delimiter)
+    found = records(spark, path, delimiter)
+    headers = read_headers(found.where("record = 0"), delimiter)
     if limits.max_columns is not None and len(headers) > limits.max_columns:
         raise ScanError("too many columns")
 
     cells = [f"c{i}" for i in range(len(headers))]
-    # One spare column makes every normal record "malformed", which is what fills the raw-record column.
-    schema = StructType([StructField(c, StringType()) for c in [*cells, "_spare", _RAW]])
-    parsed = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _RAW)
-        .csv(path)
+    body = found.where("record > 0")
+    starts = offsets(body.groupBy("file").count(), ["file"]).select("file", "_start")
+    fields = _parsed(F.col("text"), len(headers), delimiter)
+    rows = body.join(starts, "file").select(
+        (F.col("_start") + F.col("record") - 1).alias(ROW), _field_count(F.col("text"), delimiter).alias("_fields"),
+        fields.alias("_row"),
     )
-    located = parsed.select(
-        *[F.coalesce(c, F.lit("")).alias(c) for c in cells],
-        F.coalesce(_field_count(F.col(_RAW), delimiter), F.lit(len(headers) + 1)).alias("_fields"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seen"),
-    )
-    # The order inside a block is only final once written: parse once into the shared checkpoint folder.
-    ensure_checkpoint_dir(spark)
-    landed = located.checkpoint()
-    blocks = landed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("count"), F.min("_seen").alias("_first"))
-    starts = offsets(blocks, ["_file", "_block"]).select("_file", "_block", "_first", "_start")
-    rows = landed.join(starts, ["_file", "_block"]).withColumn(ROW, F.col("_start") + F.col("_seen") - F.col("_first"))
+    rows = rows.select(ROW, "_fields", *[F.coalesce(F.col(f"_row.{c}"), F.lit("")).alias(c) for c in cells])
+    # Parsed once: counts, issues and cells below all start from here.
+    rows = rows.checkpoint()
 
     longest = F.greatest(F.lit(0), *[F.max(F.length(c)) for c in cells])
     size = rows.agg(F.count(F.lit(1)).alias("n"), longest.alias("longest")).first()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyledger.sources.csv import manifest
@@ -13,24 +15,33 @@ from tidyledger.sources.tables import ROW, CellTable
 def write_csv(table: CellTable, root: str, organization_id: str, run_id: str, single_file: bool = False) -> str:
     """Rows in order under ``root/organization/run``; one file only on request, as it means one task.
 
-    Display names are written by position, so blank and repeated headers survive: every part file gets the
-    header line, and quoting is the same whatever the content.
+    Cells and headers are written exactly as they are, white space and repeated names included: each part file is
+    plain text that starts with the header line, and only cells that need it are quoted.
     """
     path = f"{root}/{organization_id}/{run_id}"
-    named = table.frame.orderBy(ROW).toDF(ROW, *_distinct(table.headers)).drop(ROW)
+    ordered = table.frame.orderBy(ROW)
     if single_file:
-        named = named.coalesce(1)
-    named.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        ordered = ordered.coalesce(1)
+    header = ",".join(map(_quoted_name, table.headers))
+    cells = [_quoted(F.col(c)) for c in table.cells]
+    place = F.monotonically_increasing_id()
+    lines = ordered.select(place.bitwiseAND((1 << 33) - 1).alias("_at"), F.concat_ws(",", *cells).alias("value"))
+    # The first row of each part brings the header line with it; an empty table is the header line alone.
+    headed = lines.select(F.when(F.col("_at") == 0, F.concat(F.lit(f"{header}\n"), "value")).otherwise(F.col("value")).alias("value"))
+    if table.frame.isEmpty():
+        headed = table.frame.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+    headed.write.mode("overwrite").text(path)
     return path
 
 
-def _distinct(headers: tuple[str, ...]) -> list[str]:
-    seen: dict[str, int] = {}
-    names = []
-    for h in headers:
-        seen[h.lower()] = seen.get(h.lower(), 0) + 1
-        names.append(h if seen[h.lower()] == 1 else f"{h}#{seen[h.lower()]}")
-    return names
+def _quoted(cell: Column) -> Column:
+    """Cell of a CSV line: in quotes where it holds a delimiter, a quote, a line break or white space at an edge."""
+    needs = cell.rlike(r'[",\r\n]|^\s|\s$')
+    return F.when(needs, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+
+
+def _quoted_name(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"' if re.search(r'[",\r\n]|^\s|\s$', name) else name
 
 
 def output_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -57,12 +68,15 @@ def content_hash(table: CellTable) -> DataFrame:
 def append_once(new: DataFrame, path: str, key: str = "task_run_id") -> None:
     """Append result rows of runs not stored yet; a repeated run leaves its first result in place.
 
-    Partitioned by tenant, so every later query prunes to one.
+    Partitioned by tenant, so every later query prunes to one. The stored keys are read for the new rows' tenants
+    only, and joined by tenant and key.
     """
     spark = new.sparkSession
     stored = read_if_present(spark, path)
     if stored is not None:
-        new = new.join(stored.select(key).distinct(), key, "left_anti")
+        tenant = "organization_id"
+        kept = stored.select(tenant, key).join(new.select(tenant, key).distinct(), [tenant, key], "left_semi")
+        new = new.join(kept.distinct(), [tenant, key], "left_anti")
     new.write.mode("append").partitionBy("organization_id").parquet(path)
 
 
