@@ -13,7 +13,9 @@ from tidyledger.sources.tables import from_frame
 ALL = AuditLimits(None, None, None)
 SINGLE = MatchRules(0.9, 0.4, (MatchField("email"),))
 COMPOSITE = MatchRules(0.7, 0.4, (MatchField("email", weight=1.0), MatchField("name", weight=0.3), MatchField("zone", weight=0.3)))
-CAP = 40
+CAP = 40  # of the queries that show a capped log; all others match blocks of any size
+ANY = 10**12
+WHOLE = MatchLimits()
 
 DOCS = "(SELECT doc_id AS row_index, text, lang, source FROM documents)"
 PEOPLE = f"({fixture_sql('people')})"
@@ -145,12 +147,24 @@ def _pairs(run):
 
 @query(
     "match_pair_counts",
-    f"{people_sql(CAP, False)} SELECT bk AS block_key, count(*) AS comparisons,"
+    f"{people_sql(ANY, False)} SELECT bk AS block_key, count(*) AS comparisons,"
     " count(*) FILTER (WHERE decision = 'duplicate') AS duplicates,"
     " count(*) FILTER (WHERE decision = 'ambiguous') AS ambiguous FROM judged GROUP BY bk",
 )
 def match_pair_counts(spark, sf_dir):
-    return match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP)).block_pairs
+    counts = match(_people(spark, sf_dir), COMPOSITE, WHOLE).block_pairs
+    return counts.select("block_key", *[F.col(c).cast("long") for c in ("comparisons", "duplicates", "ambiguous")])
+
+
+@query(
+    "match_links",
+    f"{people_sql(ANY, True)}, f AS (SELECT bk, min(rep) AS a FROM cand GROUP BY bk)"
+    " SELECT bk AS block_key, a, rep AS b, 1.0 AS total_score, 'duplicate' AS decision FROM cand JOIN f USING (bk)"
+    " WHERE rep <> a",
+)
+def match_links(spark, sf_dir):
+    """Without a block limit: one link per row to the first row it agrees with."""
+    return _pairs(match(_people(spark, sf_dir), SINGLE, WHOLE, ALL))
 
 
 _LOGGED = f"""{people_sql(CAP, False)},
@@ -183,51 +197,60 @@ def _groups(run):
     )
 
 
-@query("match_groups", f"{people_sql(CAP, False)} {_GROUPS}")
+@query("match_groups", f"{people_sql(ANY, False)} {_GROUPS}")
 def match_groups(spark, sf_dir):
-    return _groups(match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP)))
+    return _groups(match(_people(spark, sf_dir), COMPOSITE, WHOLE))
 
 
-@query("match_groups_single", f"{people_sql(CAP, True)} {_GROUPS}")
+@query("match_groups_single", f"{people_sql(ANY, True)} {_GROUPS}")
 def match_groups_single(spark, sf_dir):
-    return _groups(match(_people(spark, sf_dir), SINGLE, MatchLimits(CAP)))
+    return _groups(match(_people(spark, sf_dir), SINGLE, WHOLE))
 
 
-@query("match_groups_uncapped", f"{people_sql(10**9, True)} {_GROUPS}")
+@query("match_groups_uncapped", f"{people_sql(ANY, True)} {_GROUPS}")
 def match_groups_uncapped(spark, sf_dir):
-    return _groups(match(_people(spark, sf_dir), SINGLE, MatchLimits(None)))
+    return _groups(match(_people(spark, sf_dir), SINGLE, WHOLE))
 
 
-@query("match_members", f"{people_sql(CAP, False)} SELECT canonical AS canonical_row_index, row_index FROM member")
+@query("match_members", f"{people_sql(ANY, False)} SELECT canonical AS canonical_row_index, row_index FROM member")
 def match_members(spark, sf_dir):
-    run = match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP))
+    run = match(_people(spark, sf_dir), COMPOSITE, WHOLE)
     return run.members.select("canonical_row_index", "row_index")
 
 
 @query(
     "match_group_index",
-    f"{people_sql(CAP, True)} SELECT canonical_row_index, row_number() OVER (ORDER BY canonical_row_index) - 1 AS group_index FROM grp",
+    f"{people_sql(ANY, True)} SELECT canonical_row_index, row_number() OVER (ORDER BY canonical_row_index) - 1 AS group_index FROM grp",
 )
 def match_group_index(spark, sf_dir):
     from tidyledger.plans.order import number_rows
 
-    groups = match(_people(spark, sf_dir), SINGLE, MatchLimits(CAP)).groups.select("canonical_row_index")
+    groups = match(_people(spark, sf_dir), SINGLE, WHOLE).groups.select("canonical_row_index")
     return number_rows(groups, "canonical_row_index", "group_index")
 
 
-_SUMMARY = f"""{people_sql(CAP, False)} SELECT (SELECT count(*) FROM rows) AS row_count,
+_SUMMARY = f"""{people_sql(ANY, False)} SELECT (SELECT count(*) FROM rows) AS row_count,
     (SELECT count(*) FROM judged) + (SELECT count(*) FROM keyed WHERE nxt IS NOT NULL) AS total_comparisons_count,
     (SELECT count(*) FROM grp) AS duplicate_group_count, (SELECT count(*) FROM edges) AS duplicate_pairs_count,
     (SELECT count(*) FROM judged WHERE decision = 'ambiguous') AS ambiguous_pairs_count,
-    (SELECT count(*) FROM blocks WHERE block_size > {CAP}) AS skipped_block_count,
-    (SELECT round(min(confidence_score), 9) FROM low) AS confidence_score"""
+    (SELECT count(*) FROM blocks WHERE block_size > {ANY}) AS skipped_block_count,
+    (SELECT round(min(confidence_score), 9) FROM low) AS confidence_score,
+    (SELECT string_agg(rule || '=' || CAST(n AS VARCHAR), ';' ORDER BY rule) FROM (
+        SELECT 'exact_row_match' AS rule, count(*) AS n FROM keyed WHERE nxt IS NOT NULL
+        UNION ALL SELECT 'composite_weighted_match', count(*) FROM judged WHERE decision IS NOT NULL) WHERE n > 0
+    ) AS decisions_by_rule"""
 
 
 @query("match_summary", _SUMMARY)
 def match_summary(spark, sf_dir):
-    s = match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP)).summary
-    return s.drop("decisions_by_rule", "match_engine_version").withColumn(
-        "confidence_score", F.round("confidence_score", 9)
+    s = match(_people(spark, sf_dir), COMPOSITE, WHOLE).summary
+    counts = [c for c in s.columns if c.endswith("_count")]
+    by_rule = F.array_sort(F.map_entries("decisions_by_rule"))
+    listed = F.array_join(F.transform(by_rule, lambda e: F.concat_ws("=", e["key"], e["value"].cast("long"))), ";")
+    return s.select(
+        *[F.col(c).cast("long") for c in counts],
+        F.round("confidence_score", 9).alias("confidence_score"),
+        listed.alias("decisions_by_rule"),
     )
 
 
@@ -236,12 +259,12 @@ def match_summary(spark, sf_dir):
 
 def _export(spark, sf_dir, limits=ALL):
     table = _people(spark, sf_dir)
-    return export.Export(table, match(table, COMPOSITE, MatchLimits(CAP)).members, limits)
+    return export.Export(table, match(table, COMPOSITE, WHOLE).members, limits)
 
 
 @query(
     "export_rows",
-    f"{people_sql(CAP, False)} SELECT row_index, email, name, zone, 'True' AS __dq_canonical_record,"
+    f"{people_sql(ANY, False)} SELECT row_index, email, name, zone, 'True' AS __dq_canonical_record,"
     " CAST(row_index AS VARCHAR) AS __dq_source_row_index FROM rows"
     " WHERE row_index NOT IN (SELECT row_index FROM member WHERE row_index <> canonical)",
 )
@@ -250,7 +273,7 @@ def export_rows(spark, sf_dir):
 
 
 _EXCLUDED = (
-    f"{people_sql(CAP, False)} SELECT row_index, canonical AS canonical_row_index,"
+    f"{people_sql(ANY, False)} SELECT row_index, canonical AS canonical_row_index,"
     " 'row ' || CAST(row_index AS VARCHAR) || ' excluded: member of duplicate group (canonical row_index=' ||"
     " CAST(canonical AS VARCHAR) || ', ' || CAST(record_count AS VARCHAR) || ' members)' AS reason"
     " FROM member JOIN grp ON canonical = canonical_row_index WHERE row_index <> canonical"
@@ -270,7 +293,7 @@ def export_exclusions_cap(spark, sf_dir):
 
 @query(
     "export_counts",
-    f"{people_sql(CAP, False)} SELECT count(*) AS source_row_count,"
+    f"{people_sql(ANY, False)} SELECT count(*) AS source_row_count,"
     " count(*) - (SELECT count(*) FROM member WHERE row_index <> canonical) AS row_count,"
     " (SELECT count(*) FROM member WHERE row_index <> canonical) AS excluded_row_count,"
     " (SELECT count(*) FROM grp) AS duplicate_groups_materialized_count, 5 AS output_column_count FROM rows",
@@ -281,8 +304,8 @@ def export_counts(spark, sf_dir):
 
 @query(
     "group_membership_check",
-    f"{people_sql(CAP, True)} SELECT canonical_row_index, record_count, record_count AS member_count, true AS complete FROM grp",
+    f"{people_sql(ANY, True)} SELECT canonical_row_index, record_count, record_count AS member_count, true AS complete FROM grp",
 )
 def group_membership_check(spark, sf_dir):
-    run = match(_people(spark, sf_dir), SINGLE, MatchLimits(CAP), ALL)
+    run = match(_people(spark, sf_dir), SINGLE, WHOLE, ALL)
     return export.rebuild_membership(run.decisions, run.groups).drop("group_id")

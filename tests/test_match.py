@@ -79,16 +79,29 @@ def test_uncapped_blocks(spark, number):
     got = match(cells(spark, rows, headers), RULES[number], MatchLimits(None))
     assert {r.canonical_row_index: (r.record_count, r.confidence_score) for r in got.groups.collect()} == expected["groups"]
     assert got.summary.first().duplicate_pairs_count == expected["duplicates"]
-    with pytest.raises(ValueError):
-        got.field_decisions
+    # Without a size limit the log has links that connect the groups, each a pair of the full log with its score.
+    pairs = {(d[0], d[1]): (d[3], round(d[4], 9)) for d in expected["decisions"]}
+    links = got.field_decisions.collect()
+    assert all(pairs[(r.a, r.b)] == (r.decision, round(r.total_score, 9)) for r in links)
+    assert len(links) <= 4 * len(rows)
+    assert all(r.complete for r in export.rebuild_membership(got.decisions, got.groups).collect())
+
+
+def test_a_large_block_is_matched_by_default(spark):
+    rows = [["same@x.com", f"n{i}", "1"] for i in range(1500)]
+    got = match(cells(spark, rows, ["email", "name", "zone"]), RULES[1])
+    assert [(r.canonical_row_index, r.record_count) for r in got.groups.collect()] == [(0, 1500)]
+    assert got.members.count() == 1500 and got.field_decisions.count() == 1499
+    assert got.summary.first().duplicate_pairs_count == 1500 * 1499 // 2
 
 
 def test_log_is_cut_in_order_and_totals_are_not(spark):
     headers = ["Email", "name", "zone"]
     rows = messy_rows(3, 60)
     table = cells(spark, rows, headers)
-    full = match(table, RULES[3]).decisions.collect()
-    cut = match(table, RULES[3], audit=AuditLimits(max_decisions=25))
+    limits = MatchLimits.published()
+    full = match(table, RULES[3], limits).decisions.collect()
+    cut = match(table, RULES[3], limits, AuditLimits(max_decisions=25))
     first = {(r.record_a_row_index, r.record_b_row_index, r.blocking_key) for r in cut.decisions.collect()}
     chains = sorted(
         (r for r in full if r.blocking_key is None),
@@ -99,7 +112,7 @@ def test_log_is_cut_in_order_and_totals_are_not(spark):
     )
     wanted = (chains + pairs)[:25]
     assert first == {(r.record_a_row_index, r.record_b_row_index, r.blocking_key) for r in wanted}
-    assert cut.summary.first() == match(table, RULES[3]).summary.first()
+    assert cut.summary.first() == match(table, RULES[3], limits).summary.first()
 
 
 def test_decision_reason_and_comparison(spark):
@@ -117,7 +130,7 @@ def test_export_and_membership(spark):
     rows = messy_rows(3, 60)
     table = cells(spark, rows, headers)
     run = match(table, RULES[3])
-    out = export.Export(table, run.members)
+    out = export.Export(table, run.members, AuditLimits.published())
     gone = {i for k, i in brute_match(rows, headers, RULES[3])["members"] if i != k}
     survivors = {int(r[f"c{4}"]): r for r in out.rows.frame.collect()}
     assert set(survivors) == set(range(60)) - gone

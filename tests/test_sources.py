@@ -245,3 +245,24 @@ def test_written_cells_and_headers_are_exact(spark, tmp_path):
         assert back.headers == ("h", "h") and rows_of(back) == [r[1:] for r in rows]
     none = CellTable(table.frame.limit(0), ("h", "h"))
     assert spark.read.text(sinks.write_csv(none, str(tmp_path / "none"), "org", "run")).collect()[0][0] == "h,h"
+
+
+def test_json_of_any_depth_is_scanned(spark):
+    from tidyledger.functions.jsonscan import secret_keys, secret_path
+
+    deep = '{"a":' * 30_000 + '{"Api_Key": 1}' + "}" * 30_000
+    rows = [('{"a": [{"b": 1}, {"dbPassword": 2}], "token": 3}',), ("[[]]",), (None,), ("no json token:",), (deep,),
+            ('{"x": {"pw\\u0064": 1}}',), ('{"note": "secret: x"}',)]
+    found = [r.p for r in secret_keys(spark.createDataFrame(rows, "j string").coalesce(1), "j", "p").collect()]
+    assert found[:4] == ["a[1].dbPassword", None, None, None]
+    assert found[4].endswith("Api_Key") and found[5:] == ["x.pwd", None]
+    assert secret_path('{"a": {"b": 1}, "secret": {"token": 1}}') == "secret"
+
+
+def test_search_text_with_a_backslash(spark, sf_dir):
+    from suite.operations import _views
+    from tidyledger.plans import review_queue
+
+    tables = _views(spark, sf_dir)
+    found = [review_queue.filtered(tables, "org1", review_queue.Filters(search=t)).count() for t in ("a\\m", "%a%", "mach")]
+    assert found[0] == 0 and found[1] >= found[2] > 0

@@ -1,7 +1,4 @@
-"""Limits and run configuration.
-
-Fixed values: the defaults below must equal the published ones so that results agree.
-"""
+"""Limits and run configuration. Every limit is off unless it is asked for; ``published`` has the fixed values."""
 
 from __future__ import annotations
 
@@ -16,16 +13,16 @@ EXPORT_FORMAT_VERSION = 1
 
 @dataclass(frozen=True)
 class ScanLimits:
-    """Input limits. ``None`` switches a limit off, which is what a large table wants."""
+    """Input limits; above one a scan is refused. ``None`` is no limit."""
 
-    max_file_size_bytes: int | None = 25 * 1024 * 1024
-    max_rows: int | None = 100_000
-    max_columns: int | None = 500
-    max_cell_length: int | None = 100_000
+    max_file_size_bytes: int | None = None
+    max_rows: int | None = None
+    max_columns: int | None = None
+    max_cell_length: int | None = None
 
     @classmethod
-    def unlimited(cls) -> ScanLimits:
-        return cls(None, None, None, None)
+    def published(cls) -> ScanLimits:
+        return cls(25 * 1024 * 1024, 100_000, 500, 100_000)
 
 
 @dataclass(frozen=True)
@@ -38,9 +35,13 @@ class ProfileLimits:
 class AuditLimits:
     """How many audit rows a run keeps; totals are always taken before the cut. ``None`` keeps all."""
 
-    max_changes: int | None = 10_000
-    max_decisions: int | None = 10_000
-    max_exclusions: int | None = 10_000
+    max_changes: int | None = None
+    max_decisions: int | None = None
+    max_exclusions: int | None = None
+
+    @classmethod
+    def published(cls) -> AuditLimits:
+        return cls(10_000, 10_000, 10_000)
 
 
 @dataclass(frozen=True)
@@ -78,5 +79,11 @@ class MatchRules:
 
 @dataclass(frozen=True)
 class MatchLimits:
-    max_block_size: int | None = 1_000
+    """Blocks above the size are left unmatched and listed with a sample. ``None`` matches blocks of any size."""
+
+    max_block_size: int | None = None
     max_skipped_sample: int = 20
+
+    @classmethod
+    def published(cls) -> MatchLimits:
+        return cls(1_000)

@@ -375,7 +375,7 @@ class Match:
         if limit is not None:
             # Chains are logged group by group in the order of their first row: later groups are not needed.
             wanted = first_rows(self.exact_groups, "rep", limit)
-            rows = rows.join(F.broadcast(wanted.select("rep")), "rep", "left_semi")  # at most ``limit`` rows
+            rows = rows.join(wanted.select("rep"), "rep", "left_semi")
         chained = next_in_group(rows.select(ROW, "rep", "row_size"), "rep", ROW, "b").where("b is not null")
         if limit is not None:
             chained = _cut_chains(chained, limit)
@@ -393,37 +393,64 @@ class Match:
         running = offsets(first.select("block_key", "found"), ["block_key"], "found")
         return running.where(F.col("_start") < self.audit.max_decisions).select("block_key")
 
+    def _paired(self) -> DataFrame:
+        """(block_key, a, b, values of both) of all pairs that agree on a winning set, in blocks of limited size."""
+        names = self._field_names()
+        busy = self.compared.join(self._logged_blocks, "block_key", "left_semi")
+        left = busy.select("block_key", F.col("rep").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
+        right = busy.select(
+            F.col("block_key").alias("_block"), F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names]
+        )
+        apart = (F.col("block_key") == F.col("_block")) & (F.col("a") < F.col("b"))
+        sets = winning_sets(self.rules.fields, self.rules.review_threshold, self._always)
+        return self._first_set(sets, lambda chosen: left.join(right, self._agree(chosen, apart)))
+
+    def _starred(self) -> DataFrame:
+        """(block_key, a, b, values of both): each candidate with the first one of every group it agrees with.
+
+        In blocks of any size: a group of n gives n - 1 links, not its n(n-1)/2 pairs. ``block_pairs`` counts those.
+        """
+        names = self._field_names()
+
+        def links(chosen: frozenset[int]) -> DataFrame:
+            keys = ["block_key", *[f"f{i}" for i in sorted(chosen)]]
+            head = F.min(F.struct("rep", *names)).alias("head")
+            heads = self.compared.groupBy(*keys).agg(head, F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            tied = attach_group(self.compared, heads, keys, "_n").where("head.rep <> rep")
+            return tied.select(
+                "block_key", F.col("head.rep").alias("a"), *[F.col(f"head.{c}").alias(f"a_{c}") for c in names],
+                F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names],
+            )
+
+        # Sets that make a duplicate come first: their links alone connect the clusters.
+        review = winning_sets(self.rules.fields, self.rules.review_threshold, self._always)
+        sets = self._duplicate_sets + [s for s in review if s not in self._duplicate_sets]
+        return self._first_set(sets, links)
+
+    def _agree(self, chosen: frozenset[int], start: Column) -> Column:
+        for i in sorted(chosen):
+            start = start & (F.col(f"a_f{i}") == F.col(f"b_f{i}"))
+        return start
+
+    def _first_set(self, sets: list[frozenset[int]], pairs_of) -> DataFrame:
+        """Pairs under every set, each under the first set it agrees on."""
+        earlier, found = F.lit(False), None
+        for chosen in sets:
+            part = pairs_of(chosen).where(~earlier)
+            earlier = earlier | self._agree(chosen, F.lit(True))
+            found = part if found is None else found.unionByName(part)
+        return found if found is not None else pairs_of(frozenset()).where(F.lit(False))
+
     @cached_property
     def field_decisions(self) -> DataFrame:
         """In-block pairs that score at least the review threshold.
 
-        Joined on the winning field sets, so that pairs below the threshold are never formed; a pair that
-        agrees on several sets is taken under the first.
+        Pairs below the threshold are never formed. Under a block size limit all pairs are listed, without one each
+        row's links to the first rows it agrees with.
         """
         rules, fields = self.rules, self.rules.fields
-        if self.limits.max_block_size is None:
-            raise ValueError("a log of pairs needs a block size limit; groups and totals do not")
-        busy = self.compared.join(self._logged_blocks, "block_key", "left_semi")
-        names = self._field_names()
-        left = busy.select("block_key", F.col("rep").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-        right = busy.select(
-            F.col("block_key").alias("_block"), F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names]
-        )
+        pairs = self._starred() if self.limits.max_block_size is None else self._paired()
         agree = {i: F.col(f"a_f{i}") == F.col(f"b_f{i}") for i in range(len(fields))}
-        parts, earlier = [], F.lit(False)
-        for chosen in winning_sets(fields, rules.review_threshold, self._always):
-            on = (F.col("block_key") == F.col("_block")) & (F.col("a") < F.col("b"))
-            here = F.lit(True)
-            for i in sorted(chosen):
-                on = on & agree[i]
-                here = here & agree[i]
-            parts.append(left.join(right, on).where(~earlier))
-            earlier = earlier | here
-        if not parts:
-            parts = [left.join(right, F.col("block_key") == F.col("_block")).where(F.lit(False))]
-        pairs = parts[0]
-        for part in parts[1:]:
-            pairs = pairs.unionByName(part)
 
         matched, total, agreed = F.lit(0.0), 0.0, F.lit(0)
         for i, f in enumerate(fields):
@@ -494,8 +521,6 @@ class Match:
         )
         one = F.lit(1.0)
         links = self.exact_decisions
-        if self.audit.max_decisions is not None:
-            links = F.broadcast(links)  # at most max_decisions rows
         exact = by_row.join(links, "a").select(
             F.lit(1).alias("stage"),
             F.col("rep").alias("order_row"),
