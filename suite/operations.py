@@ -43,16 +43,16 @@ def _run(prefix: str, more: str = "") -> str:
 _SCORE = f", {O} % 101 / CAST(100 AS DOUBLE) AS confidence_score"
 _COUNTS = f", {O} % 1000 AS row_count, {O} % 17 - 1 AS total_changes_count, {O} % 5 AS duplicate_row_count"
 SQL = {
-    "cleaning_runs": f"SELECT {_run('c', _SCORE + _COUNTS)} FROM orders WHERE o_orderpriority = '1-URGENT'",
-    "standardization_runs": f"SELECT {_run('s', _SCORE + _COUNTS)} FROM orders WHERE o_orderpriority = '2-HIGH'",
-    "match_runs": f"SELECT {_run('m', _SCORE + _COUNTS)} FROM orders WHERE o_orderpriority = '3-MEDIUM'",
+    "cleaning_runs": f"SELECT {_run('c', _SCORE + _COUNTS)} FROM orders",
+    "standardization_runs": f"SELECT {_run('s', _SCORE + _COUNTS)} FROM orders",
+    "match_runs": f"SELECT {_run('m', _SCORE + _COUNTS)} FROM orders",
     "export_runs": "SELECT "
     + _run(
         "e",
         f", {O} % 900 AS source_row_count, {O} % 901 AS row_count, {O} % 900 - {O} % 901 AS excluded_row_count,"
         f" {O} % 40 AS output_column_count, 1 AS csv_format_version",
     )
-    + " FROM orders WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')",
+    + " FROM orders",
     "match_decisions": f"SELECT 'k' || CAST({L} AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' ||"
     f" CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS id,"
     f" 'org' || CAST(o_custkey % 3 AS STRING) AS organization_id, 'm' || CAST({L} AS STRING) AS match_run_id,"
@@ -244,7 +244,7 @@ def retention_eligible(spark, sf_dir):
     f"{DUE} SELECT artifact_type, run_id FROM due ORDER BY type_rank, decided_at, run_id LIMIT 50",
 )
 def retention_batch(spark, sf_dir):
-    return retention.batch(_candidates(spark, sf_dir)[0]).select("artifact_type", "run_id")
+    return retention.batch(_candidates(spark, sf_dir)[0], retention.BATCH_SIZE).select("artifact_type", "run_id")
 
 
 _OUTCOME = (
@@ -293,7 +293,7 @@ def _step(a: str) -> str:
         f"SELECT 'x' || CAST({O} AS STRING) || '{a}' AS action_id, 'c' || CAST({O} AS STRING) AS run_id,"
         f" CASE WHEN '{a}' = '3' THEN 'rollback' WHEN ({O} + {a}) % 3 = 0 THEN 'reject' ELSE 'approve' END AS action,"
         f" 'u' || CAST(o_custkey % 9 AS STRING) AS actor, CAST(o_orderdate AS STRING) || '{a}' AS acted_at"
-        " FROM orders WHERE o_orderpriority = '1-URGENT'"
+        " FROM orders"
     )
 
 
@@ -396,9 +396,10 @@ _SETS = (
 
 def _rule_field(column: str) -> str:
     return (
-        f"SELECT 'r' || CAST(p_partkey AS STRING) AS rule_set_id, {column} AS column_name,"
+        "SELECT 'r' || CAST(CASE WHEN p_size = 50 THEN p_partkey - 1 ELSE p_partkey END AS STRING) AS rule_set_id,"
+        f" {column} AS column_name,"
         " CASE WHEN p_partkey % 11 = 0 THEN 'fuzzy' ELSE 'exact' END AS comparison_type,"
-        f" CASE WHEN p_partkey % 13 = 0 THEN 0.0 ELSE 1.0 END AS weight FROM part WHERE p_size <> 50"
+        f" CASE WHEN p_partkey % 13 = 0 THEN 0.0 ELSE 1.0 END AS weight FROM part"
     )
 
 
@@ -485,7 +486,7 @@ def taken_names(spark, sf_dir):
     " ORDER BY tasks.next_run_at, id LIMIT 50",
 )
 def due_schedules(spark, sf_dir):
-    due = runs.due_schedules(_views(spark, sf_dir)["tasks"], NOW)
+    due = runs.due_schedules(_views(spark, sf_dir)["tasks"], NOW, runs.SCHEDULE_BATCH)
     return due.select(
         "id", F.col("next_run_at").cast("string").alias("next_run_at"),
         F.col("following_run_at").cast("string").alias("following_run_at"),
@@ -502,7 +503,7 @@ _RUNTIME = "2024-01-03 12:00:00"
 )
 def claimable_runs(spark, sf_dir):
     tables = _views(spark, sf_dir)
-    return runs.claimable_runs(tables["task_runs"], tables["tasks"], _RUNTIME).select("id", "timeout_seconds")
+    return runs.claimable_runs(tables["task_runs"], tables["tasks"], _RUNTIME, runs.CLAIM_BATCH).select("id", "timeout_seconds")
 
 
 @query(

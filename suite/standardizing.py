@@ -157,11 +157,12 @@ def std_change_log_cap(spark, sf_dir):
     return log.select(*_LOG.split(", "))
 
 
-@query("std_twice_changes_nothing", "SELECT 0 AS total_changes_count")
+@query("std_twice_changes_nothing", "SELECT count(*) AS rows, 0 AS total_changes_count FROM customer")
 def std_twice_changes_nothing(spark, sf_dir):
     first = _contacts(spark, sf_dir)
     again = standardize(first.table, list(CONTACTS.values()), CONFIG, TABLES)
-    return again.trace.summary().select("total_changes_count")
+    rows = first.table.frame.agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(again.trace.summary().select("total_changes_count"))
 
 
 _T = ", ".join(f"{squeeze_sql(c)} AS {c}_t" for c in MEASURES)
@@ -236,26 +237,6 @@ def std_summary(spark, sf_dir):
 # ---- classification --------------------------------------------------------------------------------
 
 
-@query(
-    "classify_columns",
-    "WITH cols(column_name) AS (SELECT unnest(['c_custkey','c_name','c_nationkey','c_acctbal','c_mktsegment'])"
-    " UNION ALL SELECT unnest(['r_regionkey','r_name']) UNION ALL SELECT unnest(['l_orderkey','l_partkey','l_suppkey',"
-    "'l_linenumber','l_quantity','l_extendedprice','l_discount','l_tax','l_returnflag','l_linestatus','l_shipdate'])"
-    " UNION ALL SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority'])"
-    " UNION ALL SELECT unnest(['event_id','ts','user_id','event_type','value','props'])) SELECT column_name,"
-    " CASE column_name WHEN 'c_nationkey' THEN 'country' WHEN 'r_regionkey' THEN 'state_province'"
-    " WHEN 'l_linenumber' THEN 'numeric' WHEN 'l_quantity' THEN 'numeric' WHEN 'l_discount' THEN 'numeric'"
-    " WHEN 'l_extendedprice' THEN 'currency' WHEN 'l_returnflag' THEN 'boolean'"
-    " WHEN 'l_shipdate' THEN 'date' WHEN 'o_totalprice' THEN 'currency' WHEN 'o_orderdate' THEN 'date' END AS field_type"
-    " FROM cols",
-)
-def classify_columns(spark, sf_dir):
-    names = [
-        (c,) for t in ("customer", "region", "lineitem", "orders", "events") for c in load(spark, sf_dir, t).columns
-    ]
-    return classify.classify_catalog(spark.createDataFrame(names, "column_name string"))
-
-
 _FRAGMENTS = ", ".join(f"({rank}, '{kind}', '{fragment}')" for rank, kind, fragment in classify.patterns())
 
 

@@ -14,7 +14,7 @@ def connection(sf_dir):
 @pytest.mark.parametrize("name", list(suite.QUERIES))
 def test_query(spark, sf_dir, connection, name):
     problem = compare(spark, connection, sf_dir, name)
-    assert problem in (None, "empty"), problem
+    assert problem is None, problem  # an empty expected result proves nothing and fails too
 
 
 def test_registry_is_paired():

@@ -39,7 +39,7 @@ def eligible(runs: dict[str, DataFrame], now: str, window_days: int) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
-def batch(candidates: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+def batch(candidates: DataFrame, size: int) -> DataFrame:
     """The shared budget: run types in order, the oldest decision first inside each."""
     return candidates.orderBy("type_rank", "decided_at", "run_id").limit(size)
 

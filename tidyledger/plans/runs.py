@@ -17,8 +17,14 @@ def _at(now: str):
     return F.lit(now).cast("timestamp")
 
 
-def due_schedules(tasks: DataFrame, now: str, limit: int = SCHEDULE_BATCH, skip: DataFrame | None = None) -> DataFrame:
-    """Active scheduled tasks whose time has come, oldest first, with the time they run next.
+def _first(rows: DataFrame, order: tuple[str, ...], limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def due_schedules(
+    tasks: DataFrame, now: str, limit: int | None = None, skip: DataFrame | None = None
+) -> DataFrame:
+    """Active scheduled tasks whose time has come, with the time they run next; the oldest ``limit`` if one is given.
 
     Missed periods fold into one: the next time counts from ``now``. ``skip(id)`` leaves tasks out of a pass.
     """
@@ -28,16 +34,16 @@ def due_schedules(tasks: DataFrame, now: str, limit: int = SCHEDULE_BATCH, skip:
     if skip is not None:
         due = due.join(skip.select("id"), "id", "left_anti")
     after = _at(now) + F.make_dt_interval(secs=F.col("schedule_interval_seconds"))
-    return due.withColumn("following_run_at", after).orderBy("next_run_at", "id").limit(limit)
+    return _first(due.withColumn("following_run_at", after), ("next_run_at", "id"), limit)
 
 
-def claimable_runs(runs: DataFrame, tasks: DataFrame, now: str, limit: int = CLAIM_BATCH) -> DataFrame:
-    """Pending runs past their retry time, oldest first, with their task's timeout."""
+def claimable_runs(runs: DataFrame, tasks: DataFrame, now: str, limit: int | None = None) -> DataFrame:
+    """Pending runs past their retry time, with their task's timeout; the oldest ``limit`` if one is given."""
     ready = runs.where(
         (F.col("status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= _at(now)))
     )
     timeouts = tasks.select(F.col("id").alias("task_id"), "timeout_seconds")
-    return ready.join(timeouts, "task_id").orderBy("created_at", "id").limit(limit)
+    return _first(ready.join(timeouts, "task_id"), ("created_at", "id"), limit)
 
 
 def stuck_runs(runs: DataFrame, now: str) -> DataFrame:

@@ -23,7 +23,9 @@ def build_session(app_name: str = "tidyledger", master: str | None = None, **con
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    # Checkpoints go when the frames that read them are gone.
+    cleaned = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**RUNTIME_CONF, **cleaned, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
