@@ -9,7 +9,7 @@ import xxhash
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-KNOWN = 400_000  # words of a generation of a memo
+KNOWN = 120_000  # words of a generation of a memo
 
 
 def words(text: bytes) -> list[bytes]:
