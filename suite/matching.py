@@ -254,6 +254,35 @@ def match_summary(spark, sf_dir):
     )
 
 
+# ---- many fields ------------------------------------------------------------------------------------
+
+MANY = MatchRules(
+    0.75, 0.5,
+    (MatchField("customer", weight=3.0), *(MatchField(f"k{i}", weight=1.0) for i in range(8))),
+)
+_ORDERS = (
+    "SELECT o_orderkey AS row_index, CAST(o_custkey AS STRING) AS customer, o_orderstatus AS k0, o_orderpriority AS k1,"
+    " CAST(o_orderkey % 2 AS STRING) AS k2, CAST(o_orderkey % 3 AS STRING) AS k3, CAST(o_custkey % 4 AS STRING) AS k4,"
+    " CAST(o_orderkey % 5 AS STRING) AS k5, substr(CAST(o_orderdate AS STRING), 1, 3) AS k6,"
+    " substr(CAST(o_orderdate AS STRING), 6, 2) AS k7 FROM orders"
+)
+_AGREED = " + ".join(["3.0", *(f"CASE WHEN lower(a.k{i}) = lower(b.k{i}) THEN 1.0 ELSE 0.0 END" for i in range(8))])
+
+
+@query(
+    "match_pair_counts_many_fields",
+    f"""WITH o AS ({_ORDERS}), d AS (SELECT * EXCLUDE (row_index), min(row_index) AS rep FROM o GROUP BY ALL),
+    s AS (SELECT a.customer AS block_key, ({_AGREED}) / 11.0 AS score FROM d a JOIN d b ON a.customer = b.customer AND a.rep < b.rep)
+    SELECT block_key, count(*) AS comparisons, count(*) FILTER (WHERE score >= 0.75) AS duplicates,
+        count(*) FILTER (WHERE score >= 0.5 AND score < 0.75) AS ambiguous FROM s GROUP BY block_key""",
+)
+def match_pair_counts_many_fields(spark, sf_dir):
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    table = from_frame(spark.sql(_ORDERS), "row_index")
+    counts = match(table, MANY).block_pairs.where("comparisons > 0")
+    return counts.select("block_key", *[F.col(c).cast("long") for c in ("comparisons", "duplicates", "ambiguous")])
+
+
 # ---- export ----------------------------------------------------------------------------------------
 
 

@@ -87,6 +87,29 @@ def test_uncapped_blocks(spark, number):
     assert all(r.complete for r in export.rebuild_membership(got.decisions, got.groups).collect())
 
 
+@pytest.mark.parametrize("fields,cap", [(8, None), (16, 9)])
+def test_many_fields_against_brute_force(spark, fields, cap):
+    rng = random.Random(fields)
+    headers = [f"h{i}" for i in range(fields)]
+    rows = [[rng.choice(["x", "y", "z", ""])] + [rng.choice("ab") for _ in headers[1:]] for _ in range(50)]
+    rows += [list(rows[0]), [rows[1][0], *rows[2][1:]], [" X ", *rows[0][1:]]]
+    spec = [MatchField("h0", weight=3.0)] + [MatchField(h, "exact" if i % 2 else "normalized_exact", 1 + i % 3) for i, h in enumerate(headers[1:])]
+    rules = MatchRules(0.75, 0.6, tuple(spec))
+    expected = brute_match(rows, headers, rules, cap or 10**9, 20)
+    got = match(cells(spark, rows, headers), rules, MatchLimits(cap))
+    assert {r.canonical_row_index: (r.record_count, round(r.confidence_score, 9)) for r in got.groups.collect()} == {
+        k: (n, round(c, 9)) for k, (n, c) in expected["groups"].items()
+    }
+    s = got.summary.first()
+    assert (s.total_comparisons_count, s.duplicate_pairs_count, s.ambiguous_pairs_count) == (
+        expected["comparisons"], expected["duplicates"], expected["ambiguous"],
+    )
+    pairs = {(d[0], d[1]): (d[3], round(d[4], 9)) for d in expected["decisions"]}
+    log = {(r.a, r.b): (r.decision, round(r.total_score, 9)) for r in got.field_decisions.collect()}
+    assert all(pairs[k] == v for k, v in log.items())
+    assert cap is None or log == {(d[0], d[1]): pairs[d[0], d[1]] for d in expected["decisions"] if d[2]}
+
+
 def test_a_large_block_is_matched_by_default(spark):
     rows = [["same@x.com", f"n{i}", "1"] for i in range(1500)]
     got = match(cells(spark, rows, ["email", "name", "zone"]), RULES[1])

@@ -26,6 +26,9 @@ from tidyledger.sources.tables import ROW, CellTable
 EXACT_ROW = "exact_row_match"
 NORMALIZED_EXACT = "normalized_exact_match"
 COMPOSITE = "composite_weighted_match"
+# With more freely varying fields than this, sets of fields outnumber rows of a block: blocks are scored directly.
+FEW_FIELDS = 6
+TUPLES = 1_000  # distinct value tuples of a block on one side of a piece of that work
 
 
 def blocking_field(fields: tuple[MatchField, ...]) -> int:
@@ -115,7 +118,8 @@ class Match:
         for i, spec in enumerate(self.rules.fields if self.rules else ()):
             position = self.table.position(spec.column_name)
             raw = F.lit("") if position is None else F.col(f"c{position}")
-            columns.append((fold(raw) if spec.comparison == "normalized_exact" else raw).alias(f"f{i}"))
+            # Not a bare column: for each one the optimizer would double what it knows of the digest beside it.
+            columns.append((fold(raw) if spec.comparison == "normalized_exact" else F.concat(raw, F.lit(""))).alias(f"f{i}"))
         return columns
 
     @cached_property
@@ -217,6 +221,8 @@ class Match:
         For each set S of fields, ``at_least(S)`` sums n(n-1)/2 over the groups agreeing on S. Pairs that
         agree on exactly S follow by inclusion and exclusion; their score is a constant of the rules.
         """
+        if self._many:
+            return self._scored_block_pairs
         sets = self._sets
         fields = self.rules.fields
         duplicate, ambiguous = dict.fromkeys(sets, 0), dict.fromkeys(sets, 0)
@@ -247,11 +253,90 @@ class Match:
             weighted(ambiguous).alias("ambiguous"),
         )
 
+    # ---- many fields: distinct tuples of a block, scored pair by pair -------------------------------
+
+    @property
+    def _many(self) -> bool:
+        return len(self._free) > FEW_FIELDS
+
+    @property
+    def _tuple_keys(self) -> list[str]:
+        return ["block_key", *[f"f{i}" for i in self._free]]
+
+    @cached_property
+    def _tuples(self) -> DataFrame:
+        """(block_key, f.., head, n): each distinct tuple of compared values of a block, its first row and its rows."""
+        return self.compared.groupBy(*self._tuple_keys).agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def _scored_tuples(self) -> DataFrame:
+        """(block_key, a, b, pairs, score, values of both): two tuples of a block that reach the review threshold.
+
+        A block of many tuples is dealt out in pieces, so that no task has a whole one.
+        """
+        names = [f"f{i}" for i in self._free]
+        parts = F.ceil(F.count(F.lit(1)) / F.lit(TUPLES)).cast("int").alias("parts")
+        placed = self._tuples.join(self._tuples.groupBy("block_key").agg(parts), "block_key")
+        left = placed.select(
+            "block_key", F.pmod(F.xxhash64("head"), "parts").alias("part"), F.col("head").alias("a"),
+            F.col("n").alias("n_a"), *[F.col(c).alias(f"a_{c}") for c in names],
+        )
+        right = placed.select(
+            "block_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"),
+            F.col("head").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"b_{c}") for c in names],
+        )
+        matched, total = F.lit(0.0), 0.0
+        for i, field in enumerate(self.rules.fields):
+            weight = F.lit(float(field.weight))
+            agree = F.lit(True) if i in self._always else F.col(f"a_f{i}") == F.col(f"b_f{i}")
+            matched, total = matched + F.when(agree, weight).otherwise(0.0), total + field.weight
+        score = matched / F.lit(total) if total > 0 else F.lit(0.0)
+        met = left.join(right, ["block_key", "part"]).where("a < b").withColumn("score", score)
+        number = F.col("n_a").cast("decimal(19,0)") * F.col("n_b").cast("decimal(18,0)")
+        return met.where(F.col("score") >= self.rules.review_threshold).withColumn("pairs", number)
+
+    @property
+    def _scored_block_pairs(self) -> DataFrame:
+        duplicate = F.col("score") >= self.rules.duplicate_threshold
+        between = self._scored_tuples.select(
+            "block_key", F.lit(0).alias("rows"), F.when(duplicate, F.col("pairs")).otherwise(0).alias("duplicates"),
+            F.when(duplicate, 0).otherwise(F.col("pairs")).alias("ambiguous"),
+        )
+        within = self._tuples.select(
+            "block_key", F.col("n").alias("rows"), self._pairs.alias("duplicates"), F.lit(0).alias("ambiguous")
+        )
+        summed = between.unionByName(within).groupBy("block_key").agg(
+            F.sum("rows").alias("n"), F.sum("duplicates").alias("duplicates"), F.sum("ambiguous").alias("ambiguous")
+        )
+        return summed.select(
+            "block_key", self._pairs.alias("comparisons"),
+            *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("duplicates", "ambiguous")],
+        )
+
+    def _scored_links(self) -> DataFrame:
+        """(block_key, a, b, values of both): scoring pairs of tuples' first rows, and each row with its tuple's first."""
+        names = self._field_names()
+        shared = [F.col("block_key").alias(f"{side}_f{i}") for i in self._always for side in "ab"]
+        values = [f"{side}_f{i}" for i in self._free for side in "ab"]
+        between = self._scored_tuples.select("block_key", "a", "b", *values, *shared)
+        copies = attach_group(self.compared, self._tuples.where("n > 1"), self._tuple_keys, "n").where("head <> rep")
+        within = copies.select(
+            "block_key", F.col("head").alias("a"), F.col("rep").alias("b"),
+            *[F.col(c).alias(f"{side}_{c}") for c in names for side in "ab"],
+        )
+        return between.unionByName(within)
+
     # ---- clusters ---------------------------------------------------------------------------------
 
     @cached_property
     def _links(self) -> DataFrame:
         """(block_key, rep, head): each candidate tied to the first one agreeing on a winning set."""
+        if self._many:
+            linked = self._scored_tuples.where(F.col("score") >= self.rules.duplicate_threshold)
+            copies = attach_group(self.compared, self._tuples.where("n > 1"), self._tuple_keys, "n")
+            return linked.select("block_key", F.col("b").alias("rep"), F.col("a").alias("head")).unionByName(
+                copies.select("block_key", "rep", "head")
+            )
         parts = []
         for chosen in self._duplicate_sets:
             keys = ["block_key", *[f"f{i}" for i in sorted(chosen)]]
@@ -270,8 +355,8 @@ class Match:
     @cached_property
     def candidate_groups(self) -> DataFrame:
         """(rep, block_key, canonical) of the candidates that fall into a cluster by field agreement."""
-        sets = self._duplicate_sets
-        if not sets:
+        sets = [] if self._many else self._duplicate_sets
+        if not sets and not self._many:
             return self.compared.where(F.lit(False)).select("rep", "block_key", F.col("rep").alias("canonical"))
         if len(sets) == 1:
             # One winning set: agreeing on it is transitive, so its groups are the clusters.
@@ -290,6 +375,10 @@ class Match:
         For each score from the top down a pair exists when its exact agreement pattern occurs; the lowest
         occurring pattern is found from the group sizes inside the cluster, again without pairs.
         """
+        if self._many:
+            duplicates = self._scored_tuples.where(F.col("score") >= self.rules.duplicate_threshold)
+            owner = self.candidate_groups.select(F.col("rep").alias("a"), "canonical")
+            return duplicates.join(owner, "a").groupBy("canonical").agg(F.min("score").alias("low"))
         members = self.compared.join(self.candidate_groups.select("rep", "canonical"), "rep")
         fields = self.rules.fields
         sets = self._sets
@@ -402,6 +491,8 @@ class Match:
             F.col("block_key").alias("_block"), F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names]
         )
         apart = (F.col("block_key") == F.col("_block")) & (F.col("a") < F.col("b"))
+        if self._many:
+            return left.join(right, apart)
         sets = winning_sets(self.rules.fields, self.rules.review_threshold, self._always)
         return self._first_set(sets, lambda chosen: left.join(right, self._agree(chosen, apart)))
 
@@ -410,6 +501,8 @@ class Match:
 
         In blocks of any size: a group of n gives n - 1 links, not its n(n-1)/2 pairs. ``block_pairs`` counts those.
         """
+        if self._many:
+            return self._scored_links()
         names = self._field_names()
 
         def links(chosen: frozenset[int]) -> DataFrame:
@@ -458,6 +551,8 @@ class Match:
             agreed = agreed + F.when(agree[i], 1).otherwise(0)
             total += f.weight
         pairs = pairs.withColumn("total_score", matched / F.lit(total)).withColumn("matched_fields", agreed)
+        if self._many:
+            pairs = pairs.where(F.col("total_score") >= rules.review_threshold)
         duplicate = F.col("total_score") >= rules.duplicate_threshold
         comparisons = [
             part
