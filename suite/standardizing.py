@@ -9,6 +9,7 @@ from tidyledger.config import AuditLimits, LookupTables, StandardizeConfig
 from tidyledger.functions import lookups
 from tidyledger.operators import classify
 from tidyledger.operators.standardize import standardize
+from tidyledger.plans.onerow import beside
 
 CONTACTS = {
     "full_name": "person_name", "company": "company_name", "email": "email", "phone": "phone",
@@ -162,7 +163,7 @@ def std_twice_changes_nothing(spark, sf_dir):
     first = _contacts(spark, sf_dir)
     again = standardize(first.table, list(CONTACTS.values()), CONFIG, TABLES)
     rows = first.table.frame.agg(F.count(F.lit(1)).alias("rows"))
-    return rows.join(again.trace.summary().select("total_changes_count"))
+    return beside(rows, again.trace.summary().select("total_changes_count"))
 
 
 _T = ", ".join(f"{squeeze_sql(c)} AS {c}_t" for c in MEASURES)
