@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import io
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ NONZERO = 6
 HIDDEN = 24
 SEED = 7
 SLICE = 65_536  # words pooled at a time
+HELD = 1_000_000  # words whose contexts are counted at a time
+PART = 32  # rows of the context sums that travel together
 
 
 # Shape of a word: upper case, lower case and digits are one sign each, and a run of a sign counts once.
@@ -68,15 +71,68 @@ def index_vectors() -> np.ndarray:
     return vectors
 
 
-def _contexts(numbers: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
-    """Add the index vectors of all words within reach to the vector of each word of a text."""
+def _contexts(texts: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
+    """Add to each word's row of ``into`` the index vectors of all words within reach, in each of some texts."""
+    gap = np.full(REACH, -1, np.int64)  # keeps texts out of each other's reach
+    numbers = np.concatenate([part for own in texts for part in (own, gap)]) if texts else gap
+    numbers = numbers.astype(np.int32)  # a pair of word numbers fits as well, and sorts faster
+    pairs = []
     for step in range(1, REACH + 1):
-        for word, near in ((numbers[step:], numbers[:-step]), (numbers[:-step], numbers[step:])):
-            order = np.argsort(word, kind="stable")
-            word, sums = word[order], index[near[order]]
-            if len(word):
-                starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                into[word[starts]] += np.add.reduceat(sums, starts, axis=0)
+        one, other = numbers[step:], numbers[:-step]
+        inside = (one >= 0) & (other >= 0)
+        one, other = one[inside], other[inside]
+        pairs += [one * ROWS + other, other * ROWS + one]
+    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+    word, near = pair // ROWS, pair % ROWS
+    for at in range(0, len(word), SLICE):
+        own, sums = word[at : at + SLICE], index[near[at : at + SLICE]] * times[at : at + SLICE, None]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        into[own[starts]] += np.add.reduceat(sums, starts, axis=0)
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Context sums of the cells of one task, of fixed size however many cells there are, in parts of PART rows."""
+    read, index = reader(), index_vectors().astype(np.int64)
+    into, held, size = np.zeros((ROWS, WIDTH), np.int64), [], 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            columns = read(text or b"")
+            held += columns
+            size += len(columns[0])
+            if size >= HELD:
+                _contexts(held, index, into)
+                held, size = [], 0
+    _contexts(held, index, into)
+    parts = [n for n in range(ROWS // PART) if into[n * PART : (n + 1) * PART].any()]
+    sums = [zlib.compress(into[n * PART : (n + 1) * PART].tobytes(), 1) for n in parts]
+    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(sums, pa.binary())], ["part", "sums"])
+
+
+def _whole_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each part over all tasks, added up as they come."""
+    whole: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(*[c.to_pylist() for c in batch.columns]):
+            own = np.frombuffer(zlib.decompress(sums), np.int64)
+            whole[part] = whole[part] + own if part in whole else own
+    blobs = [zlib.compress(own.tobytes(), 1) for own in whole.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int32()), pa.array(blobs, pa.binary())], ["part", "sums"])
+
+
+def context_sums(cells: DataFrame) -> np.ndarray:
+    """Sum of the index vectors around each word number, over the whole text of every cell; one column."""
+    partial = cells.mapInArrow(_partial_sums, "part int, sums binary")
+    found = partial.repartition("part").mapInArrow(_whole_sums, "part int, sums binary").collect()
+    sums = np.zeros((ROWS, WIDTH), np.int64)
+    for part, blob in found:
+        sums[part * PART : (part + 1) * PART] = np.frombuffer(zlib.decompress(blob), np.int64).reshape(PART, WIDTH)
+    return sums
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Context vector and own index vector of each word number, so that words of few contexts differ too."""
+    norm = np.linalg.norm(sums.astype(np.float64), axis=1, keepdims=True)
+    return (sums / np.maximum(norm, 1) + index_vectors() / np.sqrt(NONZERO)).astype(np.float32)
 
 
 @dataclass
@@ -155,17 +211,10 @@ def _temperature(logit: np.ndarray, y: np.ndarray) -> float:
     return min(np.geomspace(0.25, 16, 61).tolist(), key=loss)
 
 
-def fitted(texts: list[bytes], labels: np.ndarray) -> Model:
+def fitted(texts: list[bytes], labels: np.ndarray, vectors: np.ndarray) -> Model:
     """Model of a bounded set of labelled texts; every fifth one only serves to set the temperature."""
     read = reader()
     numbers = [read(t) for t in texts]
-    index, vectors = index_vectors(), np.zeros((ROWS, WIDTH), np.float32)
-    for own in numbers:
-        for column in own:
-            _contexts(column, index, vectors)
-    # A word's own index vector takes part, so that words of few contexts differ too.
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = (vectors / np.maximum(norm, 1) + index / np.sqrt(NONZERO)).astype(np.float32)
     x = np.array([pooled(own, vectors) for own in numbers], np.float64).reshape(len(texts), 2 * WIDTH + 2)
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
@@ -183,10 +232,13 @@ def fitted(texts: list[bytes], labels: np.ndarray) -> Model:
     return model
 
 
-def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["place", ROW], kind="stable")
-    model = fitted([t.encode("utf-8", "replace") for t in group[CELL]], group["label"].to_numpy())
-    return pd.DataFrame({"model": [model.dump()]})
+def _fit(vectors: np.ndarray):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["place", ROW], kind="stable")
+        texts = [t.encode("utf-8", "replace") for t in group[CELL]]
+        return pd.DataFrame({"model": [fitted(texts, group["label"].to_numpy(), vectors).dump()]})
+
+    return run
 
 
 def fit(
@@ -194,10 +246,12 @@ def fit(
 ) -> bytes:
     """Model of the cells of reviewed rows: ``decisions`` has a 0/1 ``label`` per row_index.
 
-    At most ``fit_rows`` rows are taken, those of smallest hash of row_index, whatever the size of the tables; one
-    task fits on them and only the model, of fixed size, comes back. Rows or labels that are missing take no part;
-    without any, scores are 0.5.
+    Word vectors are summed over the whole texts of all ``rows``, labelled or not, each task adding to sums of fixed
+    size. The network and its temperature take at most ``fit_rows`` labelled rows, those of smallest hash of
+    row_index, whatever the size of the tables; one task fits on them and only the model, of fixed size, comes back.
+    Rows or labels that are missing take no part in that; without any, scores are 0.5.
     """
+    vectors = word_vectors(context_sums(keyed(rows, cell, row_index).select(CELL)))
     labelled = decisions.select(
         decisions[row_index].cast("long").alias(ROW), decisions[label].cast("int").alias("label")
     ).where(f"{ROW} is not null and label is not null")
@@ -205,8 +259,8 @@ def fit(
     taken = labelled.select(ROW, "label", place).orderBy("place", ROW, "label").limit(fit_rows)
     sample = keyed(rows, cell, row_index).select(ROW, CELL).join(taken, ROW)
     sample = sample.orderBy("place", ROW, "label", F.xxhash64(CELL)).limit(fit_rows)
-    found = sample.groupBy().applyInPandas(_fit, "model binary").collect()
-    return bytes(found[0][0]) if found else fitted([], np.zeros(0)).dump()
+    found = sample.groupBy().applyInPandas(_fit(vectors), "model binary").collect()
+    return bytes(found[0][0]) if found else fitted([], np.zeros(0), vectors).dump()
 
 
 def probability(cell: Column, model: bytes) -> Column:
