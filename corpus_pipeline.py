@@ -65,7 +65,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
-    found = packing.packed_cells(docs, "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = packing.packed_cells(docs, "text", path, "doc_id", added=True)
     return found.withColumnRenamed("row_index", "doc_id").drop("row_key")
 
 

@@ -19,9 +19,9 @@ SHIFT = 32  # a gram is the id before, shifted, and the id itself; the start of
 START = 2**31 - 1
 
 
-def grams(path: str, text: str) -> np.ndarray:
+def grams(path: str, text: str, added: bool) -> np.ndarray:
     """Bigrams of a text's ids, the first one with the start of the cell."""
-    ids = np.frombuffer(encoder(path)(text), "<u4").astype(np.int64)
+    ids = np.frombuffer(encoder(path, added)(text), "<u4").astype(np.int64)
     return np.concatenate([[START], ids[:-1]]) << SHIFT | ids if len(ids) else ids
 
 
@@ -30,7 +30,7 @@ def _summed(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return found, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
 
 
-def _counted(path: str):
+def _counted(path: str, added: bool):
     def batch(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
 
@@ -39,7 +39,7 @@ def _counted(path: str):
         for texts in batches:
             parts, counts = [held], [n]
             for text in texts.column(0).to_pylist():
-                own, times = np.unique(grams(path, text), return_counts=True)
+                own, times = np.unique(grams(path, text, added), return_counts=True)
                 parts.append(own)
                 counts.append(times)
             held, n = _summed(parts, counts)
@@ -65,7 +65,7 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.n
     return np.where(keys[place] == wanted, values[place], 0)
 
 
-def _scored(path: str, total: int, shared):
+def _scored(path: str, added: bool, total: int, shared):
     rare = pa.struct([("gram", pa.int64()), ("n", pa.int64()), ("seen", pa.float64()), ("unseen", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def _scored(path: str, total: int, shared):
         for batch in batches:
             tokens, sums, others = [], [], []
             for text in batch.column(2).to_pylist():
-                own, n = np.unique(grams(path, text), return_counts=True)
+                own, n = np.unique(grams(path, text, added), return_counts=True)
                 tokens.append(int(n.sum()))
                 count = _looked_up(heavy, heavy_n, own)
                 seen = -np.log10(np.maximum(_looked_up(before, before_n, own >> SHIFT), 1))
@@ -105,10 +105,11 @@ def backoff_scores(
     row_index: str = ROW,
     row_key: str | None = None,
     heavy: int = HEAVY,
+    added: bool = False,
 ) -> DataFrame:
     """Stupid-backoff log score of each cell under the counts of all other cells of the table.
 
-    Tokens are those of the vocabulary file ``tokenizer``. A token after another scores the bigram's count in other
+    Tokens are those of the vocabulary file ``tokenizer``, added ones as in ``packing``. A token after another scores the bigram's count in other
     cells over the count of its first token; where no other cell has the bigram, 0.4 times the share of the token
     among all tokens. Returns one row per row of the table: (row_key, row_index, n_tokens, score, mean_score): the sum
     of log10 scores, and that by token. Missing and empty cells have no tokens, score 0 and no mean. A repeated row
@@ -120,7 +121,7 @@ def backoff_scores(
     key of the join is hot. Sums per cell follow.
     """
     cells = keyed(rows, cell, row_index, row_key)
-    counted = cells.select(CELL).mapInArrow(_counted(tokenizer), "gram long, n long")
+    counted = cells.select(CELL).mapInArrow(_counted(tokenizer, added), "gram long, n long")
     table = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     total = table.agg(F.sum("n")).first()[0] or 1
     single = table.select(
@@ -133,7 +134,7 @@ def backoff_scores(
     shared = rows.sparkSession.sparkContext.broadcast(tables)
     rare = "array<struct<gram long, n long, seen double, unseen double>>"
     schema = f"{KEY} long, {ROW} long, n_tokens long, frequent double, rare {rare}"
-    scored = cut(cells.mapInArrow(_scored(tokenizer, total, shared), schema))
+    scored = cut(cells.mapInArrow(_scored(tokenizer, added, total, shared), schema))
     grams_of = scored.select(KEY, F.inline("rare"))
     counts = table.where(F.col("n") < least).select("gram", F.col("n").alias("count"))
     others = F.col("count") - F.col("n")

@@ -50,15 +50,18 @@ class Encoder:
     The tokenizer never joins text across a space that stands between two other characters: the space opens the
     next token. So a text is encoded chunk by chunk. Where a chunk is empty or borders on more white space, its
     neighbours are put together again first. Short Latin chunks take the same vocabulary's merges without the
-    bookkeeping of offsets, all others the tokenizer itself.
+    bookkeeping of offsets, all others the tokenizer itself. Strings of added tokens in a text are ordinary text
+    unless ``added``, the tokenizer's own default; then a text that holds one goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = not added
+        known = self._tokenizer.get_added_tokens_decoder().values() if added else ()
+        self._added = [token.content for token in known]
         ranks = _ranks(path)
         self._latin = ranks and tiktoken.Encoding(
             "vocabulary", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}
@@ -78,7 +81,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         chunks = text.split(" ")
-        if not self._latin or len(text) > LONGEST * len(chunks):
+        if not self._latin or len(text) > LONGEST * len(chunks) or any(a in text for a in self._added):
             return self._ids(text)
         try:
             return self._first[chunks[0]] + b"".join(map(self._later.__getitem__, chunks[1:]))
@@ -87,9 +90,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One encoder per worker process, with what it remembers from task to task."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def _joined(chunks: list[str]) -> Iterator[str]:
@@ -111,12 +114,12 @@ def pieces(length: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def _tokenized(path: str, capacity: int):
+def _tokenized(path: str, capacity: int, added: bool):
     fields = [(KEY, pa.int64()), (ROW, pa.int64()), ("piece", pa.int32()), ("start", pa.int64())]
     fields += [("length", pa.int32()), ("ids_crc32", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added)
         for batch in batches:
             rows = []
             for key, row, text in zip(*[c.to_pylist() for c in batch.columns]):
@@ -198,10 +201,12 @@ def packed_cells(
     row_key: str | None = None,
     capacity: int = 1024,
     group: int = GROUP,
+    added: bool = False,
 ) -> DataFrame:
     """Cells of a table as token sequences of at most ``capacity`` ids, for training.
 
-    ``tokenizer`` is the path of a vocabulary file, the same on every executor. A cell is its ids and the end id 2;
+    ``tokenizer`` is the path of a vocabulary file, the same on every executor; ``added`` says whether the string of
+    an added token in a cell is that token, as by the tokenizer's default, or ordinary text. A cell is its ids and the end id 2;
     only a longer one is cut, into full pieces behind a first piece that takes the rest. Returns one row per piece:
     (row_key, row_index, piece, start, length, ids_crc32, sequence_id, offset), where sequences are filled from
     offset 0 without gaps. Missing and empty cells are a piece of one id. Repeated rows are packed each. An empty
@@ -214,7 +219,7 @@ def packed_cells(
     cells = keyed(rows, cell, row_index, row_key)
     packs = max(1, math.ceil(rows.count() / group))
     schema = f"{KEY} long, {ROW} long, piece int, start long, length int, ids_crc32 long"
-    cut_up = cells.mapInArrow(_tokenized(tokenizer, capacity), schema)
+    cut_up = cells.mapInArrow(_tokenized(tokenizer, capacity, added), schema)
     dealt = cut_up.withColumn("pack", F.pmod(F.xxhash64(KEY), F.lit(packs)))
     out = f"{schema}, sequence_id long, offset long"
     return dealt.groupBy("pack").applyInPandas(_packed(capacity), out)

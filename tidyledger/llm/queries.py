@@ -119,7 +119,8 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
-    packed = packing.packed_cells(documents, "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.packed_cells(documents, "text", path, "doc_id", added=True)
     return packed.select(
         F.col("row_index").alias("doc_id"),
         "piece",
@@ -205,5 +206,6 @@ def op9_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
-    found = backoff.backoff_scores(documents, "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = backoff.backoff_scores(documents, "text", path, "doc_id", added=True)
     return found.select(F.col("row_index").alias("doc_id"), "n_tokens", "score", "mean_score")
