@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.base import fixture, fixture_sql, load, query
-from suite.matching import ALL, CAP, COMPOSITE, _people, people_sql
+from suite.matching import ALL, CAP, COMPOSITE, LINKED, WHOLE, _people, people_sql
 from suite.operations import _FIELDS, _NEW, _OLD, _RUNTIME, _SETS, CTES, NOW, E, O, _broken, _views
 from tidyledger.config import MatchLimits
 from tidyledger.functions import text
@@ -144,6 +144,36 @@ def match_decision_texts(spark, sf_dir):
     return match(_people(spark, sf_dir), COMPOSITE, MatchLimits(CAP), ALL).field_decisions.select("a", "b", "reason")
 
 
+# The same without a block limit: the log has each row's links to the first rows it agrees with, in blocks of any size.
+
+
+@query(
+    "match_field_comparisons_all",
+    LINKED + "".join(
+        f" {'UNION ALL' if i else ''} SELECT a, b, '{c}' AS field, {va} AS value_a, {vb} AS value_b, {va} = {vb} AS matched,"
+        f" CAST({w} AS DOUBLE) AS weight, CASE WHEN {va} = {vb} THEN CAST({w} AS DOUBLE) ELSE 0.0 END AS contribution FROM seen"
+        for i, (c, va, vb, w) in enumerate(
+            (("email", "bk", "bk", 1.0), ("name", "name_a", "name_b", 0.3), ("zone", "zone_a", "zone_b", 0.3))
+        )
+    ),
+)
+def match_field_comparisons_all(spark, sf_dir):
+    log = match(_people(spark, sf_dir), COMPOSITE, WHOLE, ALL).field_decisions
+    told = log.select("a", "b", F.explode("field_comparisons").alias("field", "c"))
+    return told.select("a", "b", "field", "c.value_a", "c.value_b", "c.matched", "c.weight", "c.contribution")
+
+
+@query(
+    "match_decision_texts_all",
+    f"""{LINKED}, told AS (SELECT *, 1 + CASE WHEN name_a = name_b THEN 1 ELSE 0 END + CASE WHEN zone_a = zone_b THEN 1 ELSE 0 END AS n
+        FROM seen) SELECT a, b, printf('%d of 3 configured fields matched (score %.4f ', n, score) || CASE decision WHEN 'duplicate'
+        THEN '>= threshold 0.7000)' ELSE 'is between the review threshold 0.4000 and the duplicate threshold 0.7000) -- '
+        || 'flagged for manual review, not grouped' END AS reason FROM told""",
+)
+def match_decision_texts_all(spark, sf_dir):
+    return match(_people(spark, sf_dir), COMPOSITE, WHOLE, ALL).field_decisions.select("a", "b", "reason")
+
+
 # ---- expectations ----------------------------------------------------------------------------------
 
 MORE = {

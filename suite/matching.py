@@ -167,6 +167,27 @@ def match_links(spark, sf_dir):
     return _pairs(match(_people(spark, sf_dir), SINGLE, WHOLE, ALL))
 
 
+# Links of a row are to the first row with its name, its zone, and its key alone; a pair counts under the first of these.
+LINKED = f"""{people_sql(ANY, False)},
+    f AS (SELECT *, min(rep) OVER (PARTITION BY bk, fname) AS by_name, min(rep) OVER (PARTITION BY bk, fzone) AS by_zone,
+                 min(rep) OVER (PARTITION BY bk) AS by_key FROM cand),
+    links AS (SELECT bk, by_name AS a, rep AS b FROM f WHERE by_name <> rep
+              UNION ALL SELECT f.bk, by_zone, f.rep FROM f JOIN cand h ON h.rep = by_zone WHERE by_zone <> f.rep AND h.fname <> f.fname
+              UNION ALL SELECT f.bk, by_key, f.rep FROM f JOIN cand h ON h.rep = by_key
+              WHERE by_key <> f.rep AND h.fname <> f.fname AND h.fzone <> f.fzone),
+    seen AS (SELECT l.*, x.fname AS name_a, y.fname AS name_b, x.fzone AS zone_a, y.fzone AS zone_b,
+                    ((1.0::DOUBLE + CASE WHEN x.fname = y.fname THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)
+                     + CASE WHEN x.fzone = y.fzone THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) / {_TOTAL} AS score,
+                    CASE WHEN x.fname = y.fname OR x.fzone = y.fzone THEN 'duplicate' ELSE 'ambiguous' END AS decision
+             FROM links l JOIN cand x ON x.rep = a JOIN cand y ON y.rep = b)"""
+
+
+@query("match_links_composite", f"{LINKED} SELECT {_PAIR} FROM seen")
+def match_links_composite(spark, sf_dir):
+    """Without a block limit: links of each row to the first rows it agrees with."""
+    return _pairs(match(_people(spark, sf_dir), COMPOSITE, WHOLE, ALL))
+
+
 _LOGGED = f"""{people_sql(CAP, False)},
     log AS (SELECT 1 AS stage, rep AS o, CAST(NULL AS VARCHAR) AS blocking_key, row_index AS a, nxt AS b, CAST(1.0 AS DOUBLE) AS score, 'duplicate' AS decision,
                    'exact_row_match' AS rule_name FROM keyed WHERE nxt IS NOT NULL
