@@ -35,14 +35,19 @@ UNWANTED = re.compile(
 )
 HEADER = re.compile(r"(?:^|[-_ ])header(?:$|[-_ ])")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
+QUOTE = re.compile("[\"'>]")
+DOWN = 0.25  # what points count within a container that only its name speaks against, but that holds most of the page's
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "items", "unwanted", "chars", "linked", "commas", "links", "score")
+    __slots__ = (
+        "tag", "parent", "inside", "items", "unwanted", "named", "factor", "chars", "linked", "commas", "links", "score",
+    )
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False):
-        self.tag, self.parent, self.unwanted = tag, parent, unwanted
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False, named: bool = False):
+        self.tag, self.parent, self.unwanted, self.named = tag, parent, unwanted, named
+        self.factor = 1.0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.items: list[Node | str] = []
         self.chars = self.linked = self.commas = self.links = 0
@@ -53,42 +58,50 @@ class Node:
         return self.linked / self.chars if self.chars else 0.0
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Where the tag's ``>`` is, quotes heeded if they close; -1 without one."""
+def _tag_end(html: str, at: int, lost: set[int]) -> int:
+    """Where the tag's ``>`` is, quotes heeded if they close; -1 without one.
+
+    ``lost`` holds the quotes of the page from which no end was found, so that none is followed twice.
+    """
     first = html.find(">", at)
-    end, quote = first, re.compile("[\"'>]")
+    followed = []
     while first >= 0:
-        found = quote.search(html, at)
-        if found is None or found[0] == ">":
-            return found.start() if found else first
-        closing = html.find(found[0], found.end(), found.end() + 65_536)
+        found = QUOTE.search(html, at)
+        if found and found[0] == ">":
+            return found.start()
+        closing = -1
+        if found and found.start() not in lost:
+            followed.append(found.start())
+            closing = html.find(found[0], found.end())
         if closing < 0:
+            lost.update(followed)
             return first
         at = closing + 1
-    return end
+    return first
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element goes for what it is, and whether its names speak against it."""
     if tag in WHOLE:
-        return False
+        return False, False
     if tag in NEVER or (tag == "header" and not inside):
-        return True
+        return True, False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
     values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true":
-        return True
+        return True, False
     if "display:none" in values.get("style", "").replace(" ", ""):
-        return True
+        return True, False
     names = " ".join(values.get(k, "") for k in ("class", "id", "role"))
-    return bool(UNWANTED.search(names)) or (not inside and bool(HEADER.search(names)))
+    return False, bool(UNWANTED.search(names)) or (not inside and bool(HEADER.search(names)))
 
 
 def parsed(html: str) -> list[Node]:
     """Nodes of a page, parents before children. Tags that are never closed end where their surroundings do."""
     root = Node("html", None)
     nodes, stack = [root], [root]
-    at = 0
+    at, lost = 0, set()
     while at < len(html):
         start = html.find("<", at)
         if start < 0:
@@ -109,7 +122,7 @@ def parsed(html: str) -> list[Node]:
                 stack[-1].items.append("<")
             at = end + 1 if end >= 0 else start + 1
             continue
-        end = _tag_end(html, name.end())
+        end = _tag_end(html, name.end(), lost)
         if end < 0:
             break
         tag, at = name[0].lower(), end + 1
@@ -131,7 +144,7 @@ def parsed(html: str) -> list[Node]:
             _close(stack, "p", AROUND_P)
         if tag in ENDS:
             _close(stack, tag, ENDS[tag])
-        node = Node(tag, stack[-1], _unwanted(tag, attributes, stack[-1].inside))
+        node = Node(tag, stack[-1], *_unwanted(tag, attributes, stack[-1].inside))
         stack[-1].items.append(node)
         nodes.append(node)
         stack.append(node)
@@ -151,6 +164,8 @@ def _close(stack: list[Node], tag: str, until: set[str] = frozenset()) -> None:
 
 def _measure(nodes: list[Node]) -> None:
     """Characters, linked characters and commas of each node, unwanted parts left out."""
+    for node in nodes:
+        node.chars = node.linked = node.commas = node.links = 0
     for node in reversed(nodes):
         for item in node.items:
             if isinstance(item, str):
@@ -173,8 +188,40 @@ def _gone(nodes: list[Node]) -> set[int]:
     return gone
 
 
+def _points(nodes: list[Node], gone: set[int]) -> Iterator[tuple[Node, float]]:
+    """Nodes with text of their own, and what each is worth."""
+    for node in nodes:
+        own = node.tag in SCORED or (node.tag in BLOCK and any(isinstance(i, str) and i.strip() for i in node.items))
+        if own and node.chars and id(node) not in gone and node.parent:
+            yield node, (1 + node.commas + min(node.chars / 100, 3)) * (1 - node.density)
+
+
+def _judge_names(nodes: list[Node]) -> None:
+    """Drop the containers that their names speak against, but only score down those that hold most of the page.
+
+    Points within others below a container that are dropped for their names do not count for it, nor for the page.
+    """
+    held, lost = ({id(node): 0.0 for node in nodes} for _ in range(2))
+    for node, points in _points(nodes, _gone(nodes)):
+        held[id(node)] += points
+    total = sum(held.values())
+    for node in reversed(nodes):
+        own = id(node)
+        if node.named and held[own] <= (total - lost[own]) / 2:
+            node.unwanted = True
+            held[own], lost[own] = 0.0, lost[own] + held[own]
+        if node.parent:
+            held[id(node.parent)] += held[own]
+            lost[id(node.parent)] += lost[own]
+    for node in nodes:
+        node.factor = (node.parent.factor if node.parent else 1.0) * (DOWN if node.named else 1.0)
+
+
 def _blocks(node: Node) -> Iterator[str]:
-    """Texts of the blocks below a node in page order, without unwanted parts and lists of links."""
+    """Texts of the blocks below a node in page order, without unwanted parts and lists of links.
+
+    Parts scored down for their names are unwanted beside what is not.
+    """
     held: list[str] = []
     todo: list[Node | str | None] = [node]
     while todo:
@@ -186,7 +233,7 @@ def _blocks(node: Node) -> Iterator[str]:
         if ends and held:
             yield " ".join(unescape("".join(held)).split())
             held = []
-        if item is None or item.unwanted:
+        if item is None or item.unwanted or item.factor < node.factor:
             continue
         if item.tag in ("ul", "ol", "table", "div", "section") and item.links >= 3 and item.density > 0.6:
             continue
@@ -201,12 +248,26 @@ def main_text(html: str) -> str:
     """Blocks of the article, joined by an empty line; '' if the page has no text."""
     nodes = parsed(html)
     _measure(nodes)
+    if not any(n.named for n in nodes):
+        return _article(nodes)
+    dropped = [n for n in nodes if n.named and not n.unwanted]
+    _judge_names(nodes)
+    _measure(nodes)
+    text = _article(nodes)
+    if not text:  # nothing is left, so names say nothing here
+        for node in dropped:
+            node.unwanted = False
+        for node in nodes:
+            node.factor, node.score = 1.0, 0.0
+        _measure(nodes)
+        text = _article(nodes)
+    return text
+
+
+def _article(nodes: list[Node]) -> str:
     gone = _gone(nodes)
-    for node in nodes:
-        own = node.tag in SCORED or (node.tag in BLOCK and any(isinstance(i, str) and i.strip() for i in node.items))
-        if not own or not node.chars or id(node) in gone or not node.parent:
-            continue
-        points = (1 + node.commas + min(node.chars / 100, 3)) * (1 - node.density)
+    for node, points in _points(nodes, gone):
+        points *= node.factor
         above = node.parent
         while above.tag in PARTS and above.parent:
             above = above.parent
@@ -230,11 +291,11 @@ def main_text(html: str) -> str:
 
 def _alike(sibling: Node, best: Node) -> bool:
     """Whether a container's sibling belongs to the same text."""
-    if sibling.unwanted or not sibling.chars:
+    if sibling.unwanted or not sibling.chars or sibling.factor < best.factor:
         return False
     if sibling.tag == "p":
         return sibling.density < 0.25 and (sibling.chars > 80 or sibling.links == 0)
-    return sibling.score >= max(10.0, 0.2 * best.score) and sibling.density < 0.25
+    return sibling.score >= max(10.0 * best.factor, 0.2 * best.score) and sibling.density < 0.25
 
 
 def extracted(cell: Column) -> Column:
@@ -251,7 +312,8 @@ def extracted_cells(rows: DataFrame, cell: str, row_index: str = ROW) -> DataFra
     """(row_key, row_index, text, n_chars) of every row: the article in its HTML cell.
 
     Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, by
-    element, by name or by being lists of links. Paragraphs give their parent points for length and commas, less by
+    element, by name or by being lists of links. A container that only its name speaks against is scored down instead
+    if it holds most of the page's points, and names do not count where they would leave no text. Paragraphs give their parent points for length and commas, less by
     the share of link text, and their grandparent half; the container with most points stays, with siblings of like
     points and bare paragraphs. Character references are decoded, white space in a block is one space, blocks stand in
     page order with an empty line between. Missing, empty and textless cells give ''. Whole pages are read however
