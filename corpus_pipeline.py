@@ -49,7 +49,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, by operator 6's radius: most pairs from similarity 0.95 on."""
     docs = _numbered(docs)
     found = simhash.near_duplicates(docs, "text", "doc_id", NUMBER)
     return _once(_chosen(docs, found.where("is_canonical")))
