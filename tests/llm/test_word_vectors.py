@@ -21,7 +21,7 @@ def test_vectors_take_texts_without_a_label(spark):
     texts += [(200, ""), (201, None), (202, "alone"), (203, "alone alone")]
     rows = spark.createDataFrame(texts, "row_index long, note string").repartition(5)
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "row_index long, verdict int")
-    sums = quality.context_sums(rows.select("note"))
+    sums = quality.unpacked(quality.context_sums(rows.select("note")))
     assert (sums == slow_sums([t or "" for _, t in texts])).all()
     model = quality.Model.load(quality.fit(rows, labels, "note", "verdict", fit_rows=10))
     assert np.allclose(model.vectors, quality.word_vectors(sums))

@@ -119,12 +119,19 @@ def _whole_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int32()), pa.array(blobs, pa.binary())], ["part", "sums"])
 
 
-def context_sums(cells: DataFrame) -> np.ndarray:
-    """Sum of the index vectors around each word number, over the whole text of every cell; one column."""
+def context_sums(cells: DataFrame) -> list[tuple[int, bytes]]:
+    """Sum of the index vectors around each word number, over the whole text of every cell of the one column.
+
+    Parts stay packed on the driver; the task that fits unpacks them.
+    """
     partial = cells.mapInArrow(_partial_sums, "part int, sums binary")
     found = partial.repartition("part").mapInArrow(_whole_sums, "part int, sums binary").collect()
+    return [(part, bytes(sums)) for part, sums in found]
+
+
+def unpacked(parts: list[tuple[int, bytes]]) -> np.ndarray:
     sums = np.zeros((ROWS, WIDTH), np.int64)
-    for part, blob in found:
+    for part, blob in parts:
         sums[part * PART : (part + 1) * PART] = np.frombuffer(zlib.decompress(blob), np.int64).reshape(PART, WIDTH)
     return sums
 
@@ -232,11 +239,12 @@ def fitted(texts: list[bytes], labels: np.ndarray, vectors: np.ndarray) -> Model
     return model
 
 
-def _fit(vectors: np.ndarray):
+def _fit(parts: list[tuple[int, bytes]]):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["place", ROW], kind="stable")
         texts = [t.encode("utf-8", "replace") for t in group[CELL]]
-        return pd.DataFrame({"model": [fitted(texts, group["label"].to_numpy(), vectors).dump()]})
+        model = fitted(texts, group["label"].to_numpy(), word_vectors(unpacked(parts)))
+        return pd.DataFrame({"model": [model.dump()]})
 
     return run
 
@@ -251,7 +259,7 @@ def fit(
     row_index, whatever the size of the tables; one task fits on them and only the model, of fixed size, comes back.
     Rows or labels that are missing take no part in that; without any, scores are 0.5.
     """
-    vectors = word_vectors(context_sums(keyed(rows, cell, row_index).select(CELL)))
+    parts = context_sums(keyed(rows, cell, row_index).select(CELL))
     labelled = decisions.select(
         decisions[row_index].cast("long").alias(ROW), decisions[label].cast("int").alias("label")
     ).where(f"{ROW} is not null and label is not null")
@@ -259,8 +267,8 @@ def fit(
     taken = labelled.select(ROW, "label", place).orderBy("place", ROW, "label").limit(fit_rows)
     sample = keyed(rows, cell, row_index).select(ROW, CELL).join(taken, ROW)
     sample = sample.orderBy("place", ROW, "label", F.xxhash64(CELL)).limit(fit_rows)
-    found = sample.groupBy().applyInPandas(_fit(vectors), "model binary").collect()
-    return bytes(found[0][0]) if found else fitted([], np.zeros(0), vectors).dump()
+    found = sample.groupBy().applyInPandas(_fit(parts), "model binary").collect()
+    return bytes(found[0][0]) if found else fitted([], np.zeros(0), word_vectors(unpacked(parts))).dump()
 
 
 def probability(cell: Column, model: bytes) -> Column:
