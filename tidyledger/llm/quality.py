@@ -26,7 +26,7 @@ NONZERO = 6
 HIDDEN = 24
 SEED = 7
 SLICE = 65_536  # words pooled at a time
-HELD = 1_000_000  # words whose contexts are counted at a time
+HELD = 100_000  # words whose contexts are counted at a time
 PART = 32  # rows of the context sums that travel together
 
 
@@ -72,33 +72,37 @@ def index_vectors() -> np.ndarray:
 
 
 def _contexts(texts: list[np.ndarray], index: np.ndarray, into: np.ndarray) -> None:
-    """Add to each word's row of ``into`` the index vectors of all words within reach, in each of some texts."""
-    gap = np.full(REACH, -1, np.int64)  # keeps texts out of each other's reach
-    numbers = np.concatenate([part for own in texts for part in (own, gap)]) if texts else gap
-    numbers = numbers.astype(np.int32)  # a pair of word numbers fits as well, and sorts faster
-    pairs = []
-    for step in range(1, REACH + 1):
-        one, other = numbers[step:], numbers[:-step]
-        inside = (one >= 0) & (other >= 0)
-        one, other = one[inside], other[inside]
-        pairs += [one * ROWS + other, other * ROWS + one]
-    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
-    word, near = pair // ROWS, pair % ROWS
-    for at in range(0, len(word), SLICE):
-        own, sums = word[at : at + SLICE], index[near[at : at + SLICE]] * times[at : at + SLICE, None]
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        into[own[starts]] += np.add.reduceat(sums, starts, axis=0)
+    """Add to each word's row of ``into`` the index vectors of all words within reach, in each of some texts.
+
+    ``index`` has a zero vector at ROWS, the number that keeps texts out of each other's reach.
+    """
+    gap = np.full(REACH, ROWS, np.uint16)
+    numbers = np.concatenate([gap, *[part for own in texts for part in (own, gap)]])
+    for at in range(0, len(numbers), HELD):  # a very long text comes in stretches that share their seams
+        low = max(0, at - REACH)
+        vectors = index[numbers[low : at + HELD + REACH]]
+        near = np.zeros_like(vectors)
+        for step in range(1, REACH + 1):
+            near[step:] += vectors[:-step]
+            near[:-step] += vectors[step:]
+        near, own = near[at - low :][:HELD], numbers[at : at + HELD]
+        order = np.argsort(own, kind="stable")  # 16 bits are sorted by radix; the gaps come last
+        order = order[: np.count_nonzero(own < ROWS)]
+        own = own[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+        if len(starts):
+            into[own[starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Context sums of the cells of one task, of fixed size however many cells there are, in parts of PART rows."""
-    read, index = reader(), index_vectors().astype(np.int64)
+    read, index = reader(), np.vstack([index_vectors(), np.zeros((1, WIDTH))]).astype(np.int8)
     into, held, size = np.zeros((ROWS, WIDTH), np.int64), [], 0
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()).to_pylist():
-            columns = read(text or b"")
-            held += columns
-            size += len(columns[0])
+            for column in read(text or b""):
+                held.append(column.astype(np.uint16))
+                size += len(column)
             if size >= HELD:
                 _contexts(held, index, into)
                 held, size = [], 0

@@ -9,7 +9,8 @@ import xxhash
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-KNOWN = 120_000  # words of a generation of a memo
+KNOWN = 60_000  # words of a generation of a memo
+LONGEST = 64  # letters of a word that a memo keeps
 
 
 def words(text: bytes) -> list[bytes]:
@@ -17,7 +18,10 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Memo(dict):
-    """Values of words, worked out once. Two generations bound its memory: the older one goes when one is full."""
+    """Values of words, worked out once.
+
+    Two generations bound its memory, the older one goes when one is full; words of any length are not kept.
+    """
 
     def __init__(self, value):
         super().__init__()
@@ -25,6 +29,8 @@ class Memo(dict):
         self._old: dict = {}
 
     def __missing__(self, word):
+        if len(word) > LONGEST:
+            return self._value(word)
         if len(self) >= KNOWN:
             self._old = dict(self)
             self.clear()
