@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import backoff, chat, decontaminate, disclosure, exact, html_text, packing, quality, simhash, toxicity
+from tidyledger.llm import (
+    backoff,
+    chat,
+    decontaminate,
+    disclosure,
+    exact,
+    html_text,
+    infill,
+    packing,
+    quality,
+    repair,
+    simhash,
+    toxicity,
+)
 from tidyledger.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +222,75 @@ def op7_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = backoff.backoff_scores(documents, "text", path, "doc_id", added=True)
     return found.select(F.col("row_index").alias("doc_id"), "n_tokens", "score", "mean_score")
+
+
+@query
+def op13_fill_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infilled_cells(load(spark, sf_dir, "documents"), "text", "doc_id")
+    return made.select(
+        F.col("row_index").alias("doc_id"),
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_in_the_middle"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), c AS (
+    SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one,
+        CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS other,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM d
+), p AS (
+    SELECT *, array_to_string(units[1:least(one, other)], '') AS prefix,
+        array_to_string(units[least(one, other) + 1:greatest(one, other)], '') AS middle,
+        array_to_string(units[greatest(one, other) + 1:], '') AS suffix
+    FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with one in four damaged, by the hash of conversation and turn; null is one space."""
+    space = F.lit(" ")
+    place = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    damage = (F.crc32(F.concat_ws(":", *place)) % 20).alias("damage")
+    whole = turns.select("conv_id", "turn", *[F.coalesce(c, space).alias(c) for c in ("role", "text")], damage)
+    text = (
+        F.when(F.col("damage") == 1, "")
+        .when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+    )
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    kept = whole.where("damage <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("n"))
+    return kept.select("conv_id", "turn", "role", "text", F.explode("n")).drop("col")
+
+
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mended = repair.repaired_chats(_damaged(turns), "conv_id")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = turns.select("conv_id").distinct()
+    lines = F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["text"])), "\n")
+    return every.join(mended, F.col("conv_id").eqNullSafe(F.col("chat_id")), "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce(lines, F.lit("")), 256).alias("repaired_sha256"),
+    )
