@@ -19,6 +19,7 @@ from tidyledger.llm import (
     packing,
     quality,
     repair,
+    secrets,
     simhash,
     toxicity,
 )
@@ -294,3 +295,79 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.sha2(F.coalesce(lines, F.lit("")), 256).alias("repaired_sha256"),
     )
+
+
+@query
+def op11_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("organization_id"),
+        F.concat_ws(":", "source", "lang").alias("data_source_id"),
+    )
+    found = secrets.secret_cells(documents, "text", "doc_id")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def judged(verdict: str):
+        return F.size(F.filter("spans", lambda s: s["verdict"] == verdict)).cast("long").alias(f"n_{verdict}")
+
+    return found.select(
+        F.col("row_index").alias("doc_id"),
+        *[count(kind) for kind in secrets.KINDS],
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"] != secrets.OWNED)), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        judged("live"),
+        judged("example"),
+    )
+
+
+ORACLES["op11_secret_ownership"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, source AS owner,
+        coalesce(source || ':' || lang, source, lang, '') AS repository
+    FROM documents
+), p (kind, rank, least, pattern) AS (
+    VALUES ('assign', 1, 6, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|'
+            || '[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+        ('access', 2, 20, 'AKIA[A-Z0-9]+'), ('hex', 3, 24, '[0-9a-f]+'), ('owned', 4, 0, '[A-Za-z0-9+_=-]{20,}')
+), h AS (
+    SELECT k, kind, rank, least, owner, repository, unnest(regexp_extract_all(text, pattern)) AS hit,
+        unnest([length(x) FOR x IN string_split_regex(text, pattern)][:-2]) AS gap,
+        unnest(range(len(regexp_extract_all(text, pattern)))) AS n
+    FROM d, p WHERE regexp_matches(text, pattern)
+), s AS (
+    SELECT *, CAST(sum(gap + length(hit)) OVER (PARTITION BY k, kind ORDER BY n) AS BIGINT) AS stop,
+        CASE kind WHEN 'assign' THEN regexp_extract(hit, (SELECT pattern FROM p WHERE rank = 1), 1) ELSE hit END AS value
+    FROM h
+), f AS (
+    SELECT *, stop - length(hit) AS start FROM s WHERE length(value) >= least AND (kind <> 'owned' OR (
+        regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')
+        AND len(list_distinct(string_split(value, ''))) >= 12))
+), c AS (
+    SELECT *, max(CASE WHEN kind <> 'owned' THEN stop END) OVER (PARTITION BY k ORDER BY start, kind = 'owned'
+        ROWS UNBOUNDED PRECEDING) AS covered
+    FROM f
+), g AS (SELECT * FROM c WHERE kind <> 'owned' OR covered IS NULL OR covered <= start
+), v AS (
+    SELECT value, max(CASE WHEN kind <> 'owned' THEN 1 ELSE 0 END) AS announced,
+        count(DISTINCT owner) + max(CASE WHEN owner IS NULL THEN 1 ELSE 0 END) AS owners
+    FROM g GROUP BY value
+), j AS (
+    SELECT g.*, CASE WHEN owners >= 3 THEN 'example' WHEN owners = 1 THEN 'live' ELSE 'shared' END AS verdict, announced
+    FROM g JOIN v USING (value)
+), t AS (
+    SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'owned') AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+        count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+    FROM j WHERE kind <> 'owned' OR verdict = 'live' OR (announced = 1 AND verdict <> 'example') GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+    coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN t USING (k)
+"""
