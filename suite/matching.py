@@ -300,7 +300,7 @@ _AGREED = " + ".join(["3.0", *(f"CASE WHEN lower(a.k{i}) = lower(b.k{i}) THEN 1.
 def match_pair_counts_many_fields(spark, sf_dir):
     load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     table = from_frame(spark.sql(_ORDERS), "row_index")
-    counts = match(table, MANY).block_pairs.where("comparisons > 0")
+    counts = match(table, MANY).block_pairs
     return counts.select("block_key", *[F.col(c).cast("long") for c in ("comparisons", "duplicates", "ambiguous")])
 
 

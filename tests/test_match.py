@@ -210,3 +210,35 @@ def test_order_helpers(spark):
     for r in linked:
         later = [i for i in range(0, 100, 3) if i > r.row_index and i % 2 == int(r.g)]
         assert r.nxt == (later[0] if later else None)
+
+
+@pytest.mark.parametrize("rules", [RULES[2], MatchRules(0.7, 0.5, (MatchField("email", weight=3.0), *(MatchField(f"k{i}") for i in range(8))))])
+def test_blocks_of_one_row_have_no_pairs(spark, rules):
+    rows = [["a@x.com", "n", "1"], ["A@x.com ", "m", "1"], ["alone@x.com", "n", "1"], ["twin@x.com", "n", "1"]] + [["twin@x.com", "n", "1"]]
+    pairs = match(cells(spark, rows, ["email", "name", "zone"]), rules).block_pairs.collect()
+    assert [(r.block_key, int(r.comparisons)) for r in pairs] == [("a@x.com", 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_blocks_take_rounds_with_the_same_result(spark, monkeypatch, seed):
+    from tidyledger.operators import match as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 4)
+    headers, rows = ["email", "name", "zone"], messy_rows(seed + 70, 70)
+    rules = MatchRules(0.7, 0.4, (MatchField("email", weight=2.0), MatchField("name"), MatchField("zone")))
+    expected = brute_match(rows, headers, rules, 10**9)
+    got = match(cells(spark, rows, headers), rules)
+    assert {r.canonical_row_index: (r.record_count, r.confidence_score) for r in got.groups.collect()} == expected["groups"]
+    assert got.members.count() == len(expected["members"])
+
+
+@pytest.mark.parametrize("held", [1_000_000, 10])
+def test_chain_over_all_partitions(spark, monkeypatch, held):
+    from tidyledger.operators import components
+
+    monkeypatch.setattr(components, "FOREST_LINKS", held)
+    links = [(i, i + 1) for i in range(400)] + [(1000 + i, 1000) for i in range(1, 300)] + [(5000, 5000)]
+    random.Random(1).shuffle(links)
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(9)
+    found = {r.node: r.root for r in connected_components(frame).collect()}
+    assert found == {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(300)}

@@ -19,7 +19,7 @@ from tidyledger.functions.text import fold, row_key
 from tidyledger.operators.components import components_by_block, connected_components
 from tidyledger.plans.onerow import beside
 from tidyledger.plans.order import bucket_of, first_rows, next_in_group, offsets
-from tidyledger.plans.skew import HOT_ROWS, attach_group, without_hot
+from tidyledger.plans.skew import HOT_ROWS, MAX_HOT, attach_group, without_hot
 from tidyledger.session import ensure_checkpoint_dir
 from tidyledger.sources.tables import ROW, CellTable
 
@@ -28,6 +28,7 @@ NORMALIZED_EXACT = "normalized_exact_match"
 COMPOSITE = "composite_weighted_match"
 # With more freely varying fields than this, sets of fields outnumber rows of a block: blocks are scored directly.
 FEW_FIELDS = 6
+BLOCK_ROWS = 500_000  # rows of a block whose links one task holds
 TUPLES = 1_000  # distinct value tuples of a block on one side of a piece of that work
 
 
@@ -196,27 +197,42 @@ class Match:
         return F.expr("cast(n as decimal(19,0)) * cast(n - 1 as decimal(18,0)) / 2").cast("decimal(38,0)")
 
     def _agreement_sizes(self, rows: DataFrame, within: str, sets: list[frozenset[int]]) -> DataFrame:
-        """(within, set_id, values, n): sizes of the groups agreeing on each set of fields.
+        """(within, set_id, n): sizes of the groups agreeing on each set of fields.
 
-        One row per candidate and set, cells outside the set blanked out: a single aggregation, combined
-        before its shuffle, covers every set.
+        Candidates collapse to distinct value tuples first. Sets then follow from the top of the lattice down, one
+        field less per level: each group is added into those of the sets that have it as their parent, by one
+        aggregation per level over what the level above has left. No candidate is repeated per set.
         """
+        values, number = [f"g{i}" for i in self._free], {s: n for n, s in enumerate(sets)}
+        whole = frozenset(self._free)
+        level = rows.groupBy(within, *[F.col(f"f{i}").alias(f"g{i}") for i in self._free]).agg(F.count(F.lit(1)).alias("n"))
+        level = level.withColumn("set_id", F.lit(number[whole]))
+        found = level.select(within, "set_id", "n")
         blank = F.lit(None).cast("string")
-        variants = F.array(
-            *[
-                F.struct(
-                    F.lit(number).alias("set_id"),
-                    *[(F.col(f"f{i}") if i in s else blank).alias(f"g{i}") for i in self._free],
-                )
-                for number, s in enumerate(sets)
-            ]
-        )
-        spread = rows.select(within, F.inline(variants))
-        return spread.groupBy(within, "set_id", *[f"g{i}" for i in self._free]).agg(F.count(F.lit(1)).alias("n"))
+        for size in range(len(whole), 0, -1):
+            parts = None
+            for parent in (s for s in sets if len(s) == size):
+                # A set's parent has one field more: the first that the set lacks.
+                lacking = min(whole - parent, default=len(self.rules.fields))
+                children = [parent - {i} for i in sorted(parent) if i < lacking]
+                if children:
+                    told = F.array(*[
+                        F.struct(
+                            F.lit(number[child]).alias("set_id"),
+                            *[(F.col(f"g{i}") if i in child else blank).alias(f"g{i}") for i in self._free],
+                        )
+                        for child in children
+                    ])
+                    own = F.col("set_id") == number[parent]
+                    parts = F.when(own, told) if parts is None else parts.when(own, told)
+            spread = level.select(within, "n", F.inline(parts))
+            level = spread.groupBy(within, "set_id", *values).agg(F.sum("n").alias("n"))
+            found = found.unionByName(level.select(within, "set_id", "n"))
+        return found
 
     @cached_property
     def block_pairs(self) -> DataFrame:
-        """(block_key, comparisons, duplicates, ambiguous): exact numbers of pairs per block.
+        """(block_key, comparisons, duplicates, ambiguous): exact numbers of pairs per block of two rows or more.
 
         For each set S of fields, ``at_least(S)`` sums n(n-1)/2 over the groups agreeing on S. Pairs that
         agree on exactly S follow by inclusion and exclusion; their score is a constant of the rules.
@@ -251,7 +267,7 @@ class Match:
             weighted(everything).alias("comparisons"),
             weighted(duplicate).alias("duplicates"),
             weighted(ambiguous).alias("ambiguous"),
-        )
+        ).where("comparisons > 0")
 
     # ---- many fields: distinct tuples of a block, scored pair by pair -------------------------------
 
@@ -311,7 +327,7 @@ class Match:
         return summed.select(
             "block_key", self._pairs.alias("comparisons"),
             *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("duplicates", "ambiguous")],
-        )
+        ).where("comparisons > 0")
 
     def _scored_links(self) -> DataFrame:
         """(block_key, a, b, values of both): scoring pairs of tuples' first rows, and each row with its tuple's first."""
@@ -364,9 +380,18 @@ class Match:
         edges = self._links.where("rep <> head")
         if self.limits.max_block_size is not None:
             return components_by_block(edges)
-        found = connected_components(edges.select(F.col("rep").alias("a"), F.col("head").alias("b")))
-        keys = self.compared.select("rep", "block_key")
-        return found.select(F.col("node").alias("rep"), F.col("root").alias("canonical")).join(keys, "rep")
+        # No component leaves its block: blocks that a task can hold take one shuffle, only larger ones take rounds.
+        large = self.blocks.where(F.col("block_size") > BLOCK_ROWS).select("block_key")
+        number = large.count()
+        if not number:
+            return components_by_block(edges)
+        large = F.broadcast(large) if number <= MAX_HOT else large
+        within = components_by_block(edges.join(large, "block_key", "left_anti"))
+        across = edges.join(large, "block_key", "left_semi")
+        found = connected_components(across.select(F.col("rep").alias("a"), F.col("head").alias("b")))
+        keys = self.compared.join(large, "block_key", "left_semi").select("rep", "block_key")
+        named = found.select(F.col("node").alias("rep"), F.col("root").alias("canonical")).join(keys, "rep")
+        return within.unionByName(named)
 
     @cached_property
     def _group_scores(self) -> DataFrame:
