@@ -122,6 +122,8 @@ def run_profile(
         F.max("encoding").alias("detected_encoding"),
         F.array_join(F.sort_array(F.collect_list("sha256")), ",").alias("source_sha256"),
     ).withColumn("delimiter", F.lit(scan.delimiter))
+    digests = F.array_join(F.sort_array(F.collect_list("digest")), ",")
+    source = beside(source, scan.fingerprints.agg(digests.alias("source_digest")))
     ws.finish("data_profiles", profile.table_profile(table), task_run_id, None, table.headers, source)
     return scan
 

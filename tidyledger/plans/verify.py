@@ -13,7 +13,8 @@ def downloadable(runs: DataFrame) -> DataFrame:
 def verify_outputs(runs: DataFrame, files: DataFrame) -> DataFrame:
     """(run_id, outcome, failure_reason_code) per downloadable run.
 
-    ``files(path, sha256)`` is a listing with digests computed by Spark (``sources.csv.manifest``).
+    ``files(path, sha256)`` is a listing with digests computed by Spark: ``sources.csv.manifest``, or for files of any
+    size the digest of ``sources.csv.fingerprints`` under that name, if the runs recorded that one.
     """
     found = files.select(F.col("path").alias("output_file_path"), F.col("sha256").alias("_found"))
     checked = downloadable(runs).join(found, "output_file_path", "left")

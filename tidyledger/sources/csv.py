@@ -1,7 +1,8 @@
 """CSV scan: header row, text cells, structural issues, limits, fingerprints.
 
 Text is read in lines and put together to records, so that blank records stay, every record's true field count is
-known, and files are split; rows get their position from (file, block, order inside the block).
+known, and files are split; rows get their position from (file, block, order inside the block). Whether a line starts
+inside a quoted cell follows from what each line does to either state, composed over lines and blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tidyledger.config import ScanLimits
 from tidyledger.plans.order import offsets
@@ -21,6 +21,9 @@ from tidyledger.sources.tables import ROW, CellTable
 # Accepted delimiters and how much text decides between them.
 DELIMITERS = (",", ";", "\t", "|")
 SNIFFED_CHARS = 8192
+WHOLE_FILE = 1 << 30  # bytes of a file up to which its plain SHA-256 is taken from one row
+BROADCAST_BLOCKS = 100_000  # file blocks whose places are broadcast
+PIECES = 4  # parts of a line's digest that are summed, of 15 hexadecimal digits each
 
 
 class ScanError(ValueError):
@@ -33,19 +36,67 @@ class CsvScan:
     issues: DataFrame
     manifest: DataFrame
     delimiter: str
+    fingerprints: DataFrame
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, sha256, encoding) per file; encoding is null where the bytes are no UTF-8."""
+    """(path, size_bytes, sha256, encoding) per file; encoding is null where the bytes are no UTF-8.
+
+    Files above ``WHOLE_FILE`` bytes are listed without being read: sha256 and encoding are null, see ``fingerprints``.
+    """
     files = spark.read.format("binaryFile").load(path)
     bom = F.expr("startswith(content, X'EFBBBF')")
-    return files.select(
+    size = F.col("length").alias("size_bytes")
+    small = files.where(F.col("length") <= WHOLE_FILE).select(
         "path",
-        F.col("length").alias("size_bytes"),
+        size,
         F.sha2("content", 256).alias("sha256"),
         F.when(F.is_valid_utf8(F.col("content").cast("string")), F.when(bom, F.lit("utf-8-sig")).otherwise("utf-8"))
         .alias("encoding"),
     )
+    nothing = F.lit(None).cast("string")
+    large = files.where(F.col("length") > WHOLE_FILE)
+    return small.unionByName(large.select("path", size, nothing.alias("sha256"), nothing.alias("encoding")))
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes, lines, digest, encoding) of files of any size, read in ranges; files without a byte have no row.
+
+    A leaf of the digest is one line: the SHA-256 of its number in the file and its bytes. Leaves are added up, so
+    ranges of any size and order give the same; size and number of lines enter the digest as well. No range starts
+    inside a line, so UTF-8 is told line by line: a line end is part of no other character. A first pass counts the
+    lines of each range, which places the lines of the second; neither shuffles a line.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size_bytes"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seen"),
+        F.col("value").alias("line"),
+    )
+    ensure_checkpoint_dir(spark)
+    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("count"), F.min("seen").alias("first")).checkpoint()
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        "path", "block", (F.coalesce(F.sum("count").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    if counts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    number = F.encode((F.col("shift") + F.col("seen")).cast("string"), "utf-8")
+    leaf = F.sha2(F.concat(number, F.encode(F.lit(":"), "utf-8"), F.col("line").cast("binary")), 256)
+    part = [F.conv(F.substring(leaf, 1 + 15 * n, 15), 16, 10).cast("decimal(38,0)") for n in range(PIECES)]
+    summed = lines.join(starts, ["path", "block"]).groupBy("path").agg(
+        F.max("size_bytes").alias("size_bytes"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(F.octet_length("line") + 1).alias("told"),
+        F.count_if(~F.is_valid_utf8("line")).alias("broken"),
+        *[F.sum(p).alias(f"part{n}") for n, p in enumerate(part)],
+    )
+    # The reader drops a byte order mark of three bytes; a line end that is missing at the end counts as one.
+    marked = F.col("told") < F.col("size_bytes")
+    digest = F.sha2(F.concat_ws(":", "size_bytes", "lines", *[f"part{n}" for n in range(PIECES)]), 256)
+    encoding = F.when(F.col("broken") == 0, F.when(marked, "utf-8-sig").otherwise("utf-8"))
+    return summed.select("path", "size_bytes", "lines", digest.alias("digest"), encoding.alias("encoding"))
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
@@ -60,47 +111,109 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return max(ranks, key=ranks.get, default=",")
 
 
-def _quotes(line: Column, delimiter: str) -> Column:
-    """Quotes that open or close a cell: those next to a delimiter or the end of a line."""
+def _patterns(delimiter: str) -> dict[str, str]:
+    """Regular expressions of the dialect. A quote opens a cell at its start only; "" inside is one quote; what
+    follows the closing quote belongs to the cell as it is. Possessive throughout, so no line is gone through twice.
+    """
     sep = re.escape(delimiter)
-    kept = F.regexp_replace(line, f'(?:^|(?<={sep}))"|"(?={sep}|$)', "\u0000")
-    return F.length(kept) - F.length(F.translate(kept, "\u0000", ""))
+    inner = '(?:[^"]++|"")*+'
+    closed = f'"{inner}"[^{sep}]*+'
+    bare = f'[^"{sep}][^{sep}]*+'
+    opened = f'(?:(?:{closed}|{bare})?+{sep})*+"{inner}\\z'
+    return {
+        "opens": f"\\A{opened}",  # from outside of a cell's quotes, the line ends inside
+        "stays": f'\\A{inner}(?:\\z|"[^{sep}]*+{sep}{opened})',  # from inside, the line ends inside
+        "field": f'{sep}("{inner}(?:"[^{sep}]*+|\\z)|{bare}|)',  # of a record with a delimiter put before it
+        "quoted": f'(?s)\\A"({inner})(?:"(.*))?\\z',
+    }
 
 
-def _field_count(raw: Column, delimiter: str) -> Column:
-    """Fields of a record: delimiters outside quotes, plus one; none in a blank record."""
-    unquoted = F.regexp_replace(raw, '"[^"]*+"', "")
-    fields = F.length(unquoted) - F.length(F.translate(unquoted, delimiter, "")) + 1
-    return F.when(raw == "", 0).otherwise(fields)
+def _values(record: Column, delimiter: str) -> Column:
+    """array<string> of the cells of a record; none in a blank one."""
+    patterns = _patterns(delimiter)
+
+    def value(raw: Column) -> Column:
+        inner, rest = (F.regexp_extract(raw, patterns["quoted"], n) for n in (1, 2))
+        return F.when(F.startswith(raw, F.lit('"')), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(raw)
+
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(patterns["field"]), F.lit(1))
+    nothing = F.expr("cast(array() as array<string>)")
+    return F.when(record == "", nothing).otherwise(F.transform(raw, value))
+
+
+def _running(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Whether each piece starts inside quotes, by all pieces of its group before it, from a start outside.
+
+    A piece maps either state to a state: it fixes it (``fixed`` has the state) or leaves or turns it (``turns``). So the
+    state is that of the last piece that fixed one, turned as often as since then. Adds ``_fixed`` and ``_turns``, the
+    state from the last fixing piece, null without one, and all turns, as the map of everything before the piece.
+    """
+    before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("_upto", F.sum("turns").over(upto))
+    mark = F.when(F.col("fixed").isNotNull(), F.struct("fixed", "_upto"))
+    placed = summed.withColumn("_last", F.last(mark, ignorenulls=True).over(before))
+    turns = F.col("_upto") - F.col("turns")
+    state = (F.col("_last.fixed") + turns - F.col("_last._upto")) % 2
+    return placed.withColumns({"_fixed": state, "_turns": turns % 2}).drop("_upto", "_last")
 
 
 def records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     """(file, record, text) of all records, blank ones too; record 0 of a file is its header.
 
-    Lines are read in splits of any size. A line opens a record unless the quotes before it in its file leave a cell
-    open; what a split adds to that count is found per split, so no file is gone through by one task. Only records
-    with line breaks inside are put together by a shuffle.
+    Lines are read in splits of any size. Each line is reduced to its transition function: the quote state it ends in
+    for either state it may start in. Functions are composed over the lines of a split by a window of that split, and
+    over the splits of a file, one row each; no file is gone through by one task. Only records with line breaks
+    inside are put together by a shuffle.
     """
+    patterns = _patterns(delimiter)
+    line = F.col("line")
+
+    def inside(text: Column, pattern: str) -> Column:
+        return F.rlike(text, F.lit(patterns[pattern])).cast("int")
+
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seen"),
         F.col("value").alias("line"),
     )
+    # Most lines have no quote and leave either state as it is. The reader drops a file's byte order mark.
+    plain = ~F.contains(line, F.lit('"'))
+    lines = lines.withColumns(
+        {
+            "out": F.when(plain, 0).otherwise(inside(line, "opens")),
+            "in": F.when(plain, 1).otherwise(inside(line, "stays")),
+        }
+    )
     # The order inside a block is only final once written: read once into the shared checkpoint folder.
     ensure_checkpoint_dir(spark)
-    lines = lines.withColumn("quotes", _quotes(F.col("line"), delimiter)).checkpoint()
-    inside = Window.partitionBy("file", "block").orderBy("seen").rowsBetween(Window.unboundedPreceding, -1)
-    by_block = lines.groupBy("file", "block").agg(F.sum("quotes").alias("count"))
+    lines = lines.checkpoint()
+    own = ["file", "block"]
+    told = lines.withColumns(
+        {
+            "fixed": F.when(F.col("out") == F.col("in"), F.col("out")),
+            "turns": F.when(F.col("out") > F.col("in"), 1).otherwise(0),
+        }
+    )
+    mapped = _running(told, own, "seen")
+    # Map of a whole block: that of its lines before the last one, and of the last one.
+    last = F.max_by(F.struct("_fixed", "_turns", "fixed", "turns"), "seen").alias("l")
+    blocks = mapped.groupBy(*own).agg(last).select(
+        *own,
+        F.coalesce(F.col("l.fixed"), (F.col("l._fixed") + F.col("l.turns")) % 2).alias("fixed"),
+        ((F.col("l._turns") + F.col("l.turns")) % 2).alias("turns"),
+    )
+    starts = _running(blocks, ["file"], "block")
+    starts = starts.select(*own, F.coalesce("_fixed", "_turns", F.lit(0)).alias("start"))
+    state = F.coalesce(F.col("_fixed"), (F.col("start") + F.col("_turns")) % 2)
+    opened = mapped.join(starts, own).withColumn("opens", (state == 0).cast("int"))
+    counts = opened.groupBy(*own).agg(F.sum("opens").alias("count"))
     running = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_block.select("file", "block", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("before"))
-    open_quotes = F.col("before") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))
-    opened = lines.join(before, ["file", "block"]).withColumn("opens", (open_quotes % 2 == 0).cast("int"))
-    starts = opened.groupBy("file", "block").agg(F.sum("opens").alias("count"))
-    first = starts.select("file", "block", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("first"))
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = opened.join(first, ["file", "block"]).withColumn("record", F.col("first") + F.sum("opens").over(upto) - 1)
-    if lines.where("quotes % 2 = 1").isEmpty():
+    first = counts.select(*own, F.coalesce(F.sum("count").over(running), F.lit(0)).alias("first"))
+    upto = Window.partitionBy(*own).orderBy("seen").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = opened.join(first, own).withColumn("record", F.col("first") + F.sum("opens").over(upto) - 1)
+    if lines.where((F.col("out") == 1) | (F.col("in") == 0)).isEmpty():
         return placed.select("file", "record", F.col("line").alias("text"))
     parts = F.sort_array(F.collect_list(F.struct("block", "seen", "line")))
     return placed.groupBy("file", "record").agg(F.array_join(parts["line"], "\n").alias("text"))
@@ -108,23 +221,14 @@ def records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
 
 def read_headers(heads: DataFrame, delimiter: str) -> tuple[str, ...]:
     """Column names of all files; those of a folder must have the same ones in the same order."""
-    bare = F.regexp_replace("text", "^\ufeff", "")
-    distinct = heads.select(bare.alias("text")).distinct().limit(2).collect()
+    distinct = heads.select("text").distinct().limit(2).collect()
     if not distinct:
         raise ScanError("source is empty")
     if len(distinct) > 1:
         raise ScanError("the files of a folder differ in their headers")
-    line = heads.select(bare.alias("text")).limit(1)
-    width = line.select(_field_count(F.col("text"), delimiter)).first()[0]
-    row = line.select(_parsed(F.col("text"), max(width, 1), delimiter).alias("r")).first()["r"]
-    return tuple((h or "").strip() for h in row)
-
-
-def _parsed(text: Column, width: int, delimiter: str) -> Column:
-    """Record as a struct of ``width`` text fields."""
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(width + 20_000)}
-    return F.from_csv(text, F.lit(schema.simpleString()), options)
+    line = heads.select("text").limit(1)
+    row = line.select(_values(F.col("text"), delimiter).alias("r")).first()["r"]
+    return tuple(h.strip() for h in row) or ("",)
 
 
 def header_issues(headers: tuple[str, ...]) -> list[tuple]:
@@ -140,8 +244,8 @@ def read_csv(
     spark: SparkSession, path: str, limits: ScanLimits = ScanLimits(), delimiter: str | None = None
 ) -> CsvScan:
     """Scan one file or a folder of like files. Short rows are filled with blanks, long ones cut."""
-    files = manifest(spark, path)
-    checks = files.agg(
+    told = fingerprints(spark, path).checkpoint()
+    checks = told.agg(
         F.coalesce(F.max("size_bytes"), F.lit(0)).alias("largest"),
         F.count_if(F.col("encoding").isNull()).alias("undecodable"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total"),
@@ -162,12 +266,11 @@ def read_csv(
     cells = [f"c{i}" for i in range(len(headers))]
     body = found.where("record > 0")
     starts = offsets(body.groupBy("file").count(), ["file"]).select("file", "_start")
-    fields = _parsed(F.col("text"), len(headers), delimiter)
     rows = body.join(starts, "file").select(
-        (F.col("_start") + F.col("record") - 1).alias(ROW), _field_count(F.col("text"), delimiter).alias("_fields"),
-        fields.alias("_row"),
+        (F.col("_start") + F.col("record") - 1).alias(ROW), _values(F.col("text"), delimiter).alias("_row")
     )
-    rows = rows.select(ROW, "_fields", *[F.coalesce(F.col(f"_row.{c}"), F.lit("")).alias(c) for c in cells])
+    values = [F.coalesce(F.get("_row", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(cells)]
+    rows = rows.select(ROW, F.size("_row").alias("_fields"), *values)
     # Parsed once: counts, issues and cells below all start from here.
     rows = rows.checkpoint()
 
@@ -177,7 +280,8 @@ def read_csv(
         raise ScanError("too many rows")
     if limits.max_cell_length is not None and (size["longest"] or 0) > limits.max_cell_length:
         raise ScanError("a cell exceeds the length limit")
-    return CsvScan(CellTable(rows.select(ROW, *cells), headers), scan_issues(rows, headers), files, delimiter)
+    table, issues = CellTable(rows.select(ROW, *cells), headers), scan_issues(rows, headers)
+    return CsvScan(table, issues, manifest(spark, path), delimiter, told)
 
 
 def scan_issues(rows: DataFrame, headers: tuple[str, ...]) -> DataFrame:
