@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidyledger.llm.backoff import backoff_scores
+from tidyledger.llm import backoff
 from tidyledger.llm.packing import Encoder, pack, packed_cells, pieces, sum_of_squares
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,24 +106,41 @@ def test_packed_cells(spark, tokenizer):
     assert packed_cells(table(spark, []), "note", PATH).count() == 0
 
 
-@pytest.mark.parametrize("heavy", [2**20, 4])
-def test_backoff_scores(spark, tokenizer, heavy):
-    """Both ways of a count, carried to the tasks or joined, must score alike."""
+@pytest.mark.parametrize("order,tokens", [(2, 3_000_000), (3, 3_000_000), (2, 40), (3, 1)])
+def test_backoff_scores(spark, tokenizer, order, tokens):
+    """Against counts in a dictionary, with cells in one chunk a task and in many."""
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
-    own = [Counter(zip(["start", *i[:-1]], i)) for i in ids]
-    table_ = sum(own, Counter())
-    total, before, word = sum(table_.values()), Counter(), Counter()
-    for (v, w), n in table_.items():
-        before[v] += n
-        word[w] += n
-
-    def one(g, n):
-        rest = table_[g] - n
-        return math.log10(rest / before[g[0]]) if rest else math.log10(0.4 * word[g[1]] / total)
-
-    found = {r.row_index: r for r in backoff_scores(table(spark, TEXTS), "note", PATH, heavy=heavy).collect()}
-    for i, grams in enumerate(own):
-        assert found[i].n_tokens == len(ids[i])
-        assert found[i].score == pytest.approx(sum(n * one(g, n) for g, n in grams.items()), abs=1e-6)
-        assert (found[i].mean_score is None) == (not ids[i])
-    assert backoff_scores(table(spark, []), "note", PATH).count() == 0
+
+    def runs(own, size):
+        padded = ["start"] * (size - 1) + own
+        return [tuple(padded[i : i + size]) for i in range(len(own))]
+
+    sizes = range(1, order + 1)
+    all_runs = [{k: runs(i, k) for k in sizes} for i in ids]
+    own = [{k: Counter(r[k]) for k in sizes} for r in all_runs]
+    starts = [{k: Counter(g[:-1] for g in r[k]) for k in sizes} for r in all_runs]
+    every = {k: sum((o[k] for o in own), Counter()) for k in sizes}
+    before = {k: sum((s[k] for s in starts), Counter()) for k in sizes}
+
+    total = sum(every[1].values())
+
+    def one(cell, at):
+        for steps, size in enumerate(range(order, 1, -1)):
+            gram = all_runs[cell][size][at]
+            seen = every[size][gram] - own[cell][size][gram]
+            if seen:
+                return math.log10(0.4**steps * seen / (before[size][gram[:-1]] - starts[cell][size][gram[:-1]]))
+        gram = all_runs[cell][1][at]
+        rest = total - len(ids[cell])
+        return math.log10(0.4 ** (order - 1) * max(every[1][gram] - own[cell][1][gram], 1) / max(rest, 1))
+
+    scored = backoff.backoff_scores(table(spark, TEXTS), "note", PATH, order=order, chunk_tokens=tokens)
+    found = {r.row_index: r for r in scored.collect()}
+    assert len(found) == len(TEXTS)
+    for i, tokens in enumerate(ids):
+        assert found[i].n_tokens == len(tokens)
+        assert found[i].score == pytest.approx(sum(one(i, at) for at in range(len(tokens))), abs=1e-6)
+        assert (found[i].mean_score is None) == (not tokens)
+    assert backoff.backoff_scores(table(spark, []), "note", PATH, order=order).count() == 0
+    with pytest.raises(ValueError):
+        backoff.backoff_scores(table(spark, []), "note", PATH, order=4)

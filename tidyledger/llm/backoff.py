@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of cells under the bigram counts of the whole table."""
+"""Stupid-backoff scores of cells under the n-gram counts of the whole table."""
 
 from __future__ import annotations
 
@@ -13,87 +13,119 @@ from tidyledger.llm.cells import CELL, KEY, ROW, cut, keyed
 from tidyledger.llm.packing import encoder
 
 ALPHA = 0.4  # factor of a step back
-HEAVY = 2**20  # grams above one part in so many are carried to the tasks: at most that many exist
-COUNTED = 2_000_000  # distinct grams a task sums up before it passes them on
-SHIFT = 32  # a gram is the id before, shifted, and the id itself; the start of a cell has id START
-START = 2**31 - 1
+TOKENS = 3_000_000  # tokens of a chunk of cells whose n-grams travel together
+BITS = 20  # of an id in an n-gram's number
+START = 2**BITS - 1  # id of what stands before a cell
+LONGEST = 3  # ids that fit into a number
+WORD = 1  # kind of single tokens; 2 k is the kind of k-grams, 2 k + 1 that of what a k-gram starts with
 
 
-def grams(path: str, text: str, added: bool) -> np.ndarray:
-    """Bigrams of a text's ids, the first one with the start of the cell."""
-    ids = np.frombuffer(encoder(path, added)(text), "<u4").astype(np.int64)
-    return np.concatenate([[START], ids[:-1]]) << SHIFT | ids if len(ids) else ids
+def _stored(path: str, added: bool, chunk_tokens: int):
+    """Ids of each cell, two bytes each where they fit, with the chunk the cell belongs to."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, chunk, size = encoder(path, added), None, 0
+        for batch in batches:
+            chunks, told, numbers = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.frombuffer(encode(text), "<u4")
+                if chunk is None or size + len(ids) > chunk_tokens:
+                    chunk, size = key, 0
+                size += len(ids) + 1
+                chunks.append(chunk)
+                numbers.append(len(ids))
+                told.append((ids.astype("<u2") if not len(ids) or ids.max() < 2**16 else ids).tobytes())
+            columns = [pa.array(chunks, pa.int64()), batch.column(0), batch.column(1), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(told, pa.binary())], ["chunk", KEY, ROW, "n_tokens", "ids"])
 
-def _summed(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(np.concatenate(parts), return_inverse=True)
-    return found, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-
+    return run
 
-def _counted(path: str, added: bool):
-    def batch(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        for texts in batches:
-            parts, counts = [held], [n]
-            for text in texts.column(0).to_pylist():
-                own, times = np.unique(grams(path, text, added), return_counts=True)
-                parts.append(own)
-                counts.append(times)
-            held, n = _summed(parts, counts)
-            if len(held) >= COUNTED:
-                yield batch(held, n)
-                held, n = held[:0], n[:0]
-        yield batch(held, n)
+def _ids(stored: bytes, number: int) -> np.ndarray:
+    return np.frombuffer(stored, "<u2" if len(stored) == 2 * number else "<u4").astype(np.int64)
 
-    return run
 
+def grams(ids: np.ndarray, size: int) -> np.ndarray:
+    """Number of the run of ``size`` ids that ends at each id; the cell's start stands before the first."""
+    number = ids
+    for back in range(1, size):
+        before = np.concatenate([np.full(min(back, len(ids)), START, np.int64), ids[: max(len(ids) - back, 0)]])
+        number = before << BITS * back | number
+    return number
 
-def _sorted(frame: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two columns of a table of proven size as arrays, ordered by the first."""
-    found = frame.select(key, value).toPandas().sort_values(key)
-    return found[key].to_numpy(np.int64), found[value].to_numpy(np.int64)
 
+def _kinds(ids: np.ndarray, order: int) -> dict[int, np.ndarray]:
+    """What is counted of a cell, by kind."""
+    runs = {2 * size: grams(ids, size) for size in range(2, order + 1)}
+    return {WORD: ids} | runs | {kind + 1: run >> BITS for kind, run in runs.items()}
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Value of each wanted key, 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[place] == wanted, values[place], 0)
 
+def _counted(order: int):
+    """(chunk, kind, key, n): distinct keys of each chunk, so a frequent n-gram is one row a chunk."""
 
-def _scored(path: str, added: bool, total: int, shared):
-    rare = pa.struct([("gram", pa.int64()), ("n", pa.int64()), ("seen", pa.float64()), ("unseen", pa.float64())])
+    def summed(chunk: int, cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for ids in cells:
+            for kind, keys in _kinds(ids, order).items():
+                parts.setdefault(kind, []).append(keys)
+        for kind, keys in parts.items():
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            columns = [np.full(len(key), chunk), np.full(len(key), kind, np.int32), key, n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (heavy, heavy_n), (before, before_n), (word, word_n) = shared.value
+        held, cells = None, []
         for batch in batches:
-            tokens, sums, others = [], [], []
-            for text in batch.column(2).to_pylist():
-                own, n = np.unique(grams(path, text, added), return_counts=True)
-                tokens.append(int(n.sum()))
-                count = _looked_up(heavy, heavy_n, own)
-                seen = -np.log10(np.maximum(_looked_up(before, before_n, own >> SHIFT), 1))
-                one = _looked_up(word, word_n, own & ((1 << SHIFT) - 1))
-                unseen = np.log10(ALPHA * np.maximum(one, 1) / total)
-                # Counts leave the cell itself out: what no other cell has is backed off.
-                rest = count - n
-                known = np.where(rest > 0, np.log10(np.maximum(rest, 1)) + seen, unseen)
-                sums.append(float((n * known)[count > 0].sum()))
-                left = np.flatnonzero(count == 0)
-                columns = [own[left], n[left], seen[left], unseen[left]]
-                names = [f.name for f in rare]
-                others.append(pa.StructArray.from_arrays([pa.array(c) for c in columns], names))
-            ends = np.cumsum([0, *map(len, others)]).astype(np.int32)
-            empty = pa.array([], rare)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([empty, *others]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(sums, pa.float64()), lists],
-                [KEY, ROW, "n_tokens", "frequent", "rare"],
-            )
+            for chunk, number, ids in zip(*[batch.column(n).to_pylist() for n in (0, 1, 2)]):
+                if chunk != held and cells:
+                    yield from summed(held, cells)
+                    cells = []
+                held = chunk
+                cells.append(_ids(ids, number))
+        if cells:
+            yield from summed(held, cells)
+
+    return run
+
+
+def _others(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a cell: place of each of its keys among them, own count, count in all other cells."""
+    own, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+    known, count = table
+    return place, n, count[np.searchsorted(known, own)] - n
+
+
+def score(ids: np.ndarray, order: int, total: int, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> float:
+    """Sum of log10 scores of a cell's tokens; ``tables`` has sorted keys and their counts in all cells, by kind."""
+    if not len(ids):
+        return 0.0
+    kinds = _kinds(ids, order)
+    place, _, others = _others(kinds[WORD], tables[WORD])
+    # A token of no other cell counts as if one had it once.
+    told = np.log10(np.maximum(others, 1) / max(total - len(ids), 1))[place] + (order - 1) * np.log10(ALPHA)
+    for size in range(2, order + 1):
+        place, _, seen = _others(kinds[2 * size], tables[2 * size])
+        start, _, before = _others(kinds[2 * size + 1], tables[2 * size + 1])
+        seen, before = seen[place], before[start]
+        known = seen > 0  # then its start is seen as well
+        steps = (order - size) * np.log10(ALPHA)
+        told = np.where(known, np.log10(np.maximum(seen, 1) / np.maximum(before, 1)) + steps, told)
+    return float(told.sum())
+
+
+def _scored(order: int, total: int):
+    def run(cells: pa.Table, counts: pa.Table) -> pa.Table:
+        kind = counts.column("kind").to_numpy()
+        key, n = counts.column("key").to_numpy(), counts.column("count").to_numpy()
+        tables = {}
+        for own in np.unique(kind):
+            inside = kind == own
+            by_key = np.argsort(key[inside])
+            tables[int(own)] = key[inside][by_key], n[inside][by_key]
+        columns = (cells.column(c).to_pylist() for c in ("ids", "n_tokens"))
+        scores = [score(_ids(ids, number), order, total, tables) for ids, number in zip(*columns)]
+        return pa.table([*(cells.column(c) for c in (KEY, ROW, "n_tokens")), pa.array(scores, pa.float64())],
+                        names=[KEY, ROW, "n_tokens", "score"])
 
     return run
 
@@ -104,45 +136,39 @@ def backoff_scores(
     tokenizer: str,
     row_index: str = ROW,
     row_key: str | None = None,
-    heavy: int = HEAVY,
+    order: int = 2,
     added: bool = False,
+    chunk_tokens: int = TOKENS,
 ) -> DataFrame:
     """Stupid-backoff log score of each cell under the counts of all other cells of the table.
 
-    Tokens are those of the vocabulary file ``tokenizer``, added ones as in ``packing``. A token after another scores the bigram's count in other
-    cells over the count of its first token; where no other cell has the bigram, 0.4 times the share of the token
-    among all tokens. Returns one row per row of the table: (row_key, row_index, n_tokens, score, mean_score): the sum
-    of log10 scores, and that by token. Missing and empty cells have no tokens, score 0 and no mean. A repeated row
-    counts as another cell. An empty table gives no rows. Other columns are not read.
-
-    All bigrams of all cells are counted, summed per task and then by hash partition. Of N bigrams at most ``heavy``
-    can make up N / ``heavy`` each; these and the vocabulary's single counts go to the tasks, where most tokens are
-    scored. The rest are exploded and joined to their partition of the count table; none of them is frequent, so no
-    key of the join is hot. Sums per cell follow.
+    Tokens are those of the vocabulary file ``tokenizer``, added ones as in ``packing``. A token scores the share of
+    its ``order``-gram (2 or 3) among all n-grams that start like it, both counted in other cells; where no other cell
+    has it 0.4 times that of the next shorter one, at last 0.4 times the share of the token among all tokens of other
+    cells, at least one. Returns one row per row of the table: (row_key, row_index, n_tokens, score, mean_score): the
+    sum of log10 scores, and that by token. Missing and empty cells have no tokens, score 0 and no mean. A repeated
+    row counts as another cell. An empty table gives no rows. Other columns are not read.
+
+    Every text is tokenised once and stored as ids, in chunks of bounded size. A chunk's distinct n-grams are rows
+    that go to their hash partition, are summed to the count table there and joined to it; a frequent n-gram is one
+    row a chunk, however many cells have it. The joined counts meet the cells of their chunk, and scores are summed
+    per cell. Only the total is read by the driver.
     """
+    if not 2 <= order <= LONGEST:
+        raise ValueError("order has to be 2 or 3")
     cells = keyed(rows, cell, row_index, row_key)
-    counted = cells.select(CELL).mapInArrow(_counted(tokenizer, added), "gram long, n long")
-    table = cut(counted.groupBy("gram").agg(F.sum("n").alias("n")))
-    total = table.agg(F.sum("n")).first()[0] or 1
-    single = table.select(
-        F.shiftright("gram", SHIFT).alias("before"), F.col("gram").bitwiseAND((1 << SHIFT) - 1).alias("word"), "n"
+    stored = cut(cells.mapInArrow(
+        _stored(tokenizer, added, chunk_tokens), f"chunk long, {KEY} long, {ROW} long, n_tokens long, ids binary"
+    ))
+    total = stored.agg(F.sum("n_tokens")).first()[0] or 0
+    counted = stored.select("chunk", "n_tokens", "ids").where("n_tokens > 0").mapInArrow(
+        _counted(order), "chunk long, kind int, key long, n long"
     )
-    sums = [single.groupBy(c).agg(F.sum("n").alias("n")) for c in ("before", "word")]
-    least = total / heavy
-    tables = [_sorted(table.where(F.col("n") >= least), "gram", "n")]
-    tables += [_sorted(s, c, "n") for s, c in zip(sums, ("before", "word"))]
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
-    rare = "array<struct<gram long, n long, seen double, unseen double>>"
-    schema = f"{KEY} long, {ROW} long, n_tokens long, frequent double, rare {rare}"
-    scored = cut(cells.mapInArrow(_scored(tokenizer, added, total, shared), schema))
-    grams_of = scored.select(KEY, F.inline("rare"))
-    counts = table.where(F.col("n") < least).select("gram", F.col("n").alias("count"))
-    others = F.col("count") - F.col("n")
-    one = F.when(others > 0, F.log10(F.greatest(others, F.lit(1))) + F.col("seen")).otherwise(F.col("unseen"))
-    told = grams_of.join(counts, "gram").select(KEY, (F.col("n") * one).alias("part"))
-    score = F.col("frequent") + F.coalesce("others", F.lit(0.0))
-    return (
-        scored.join(told.groupBy(KEY).agg(F.sum("part").alias("others")), KEY, "left")
-        .select(KEY, ROW, "n_tokens", score.alias("score"))
-        .withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
+    dealt = counted.repartition("kind", "key")
+    counts = dealt.groupBy("kind", "key").agg(F.sum("n").alias("count"))
+    known = dealt.drop("n").join(counts, ["kind", "key"]).select("chunk", "kind", "key", "count")
+    scored = stored.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+        _scored(order, total), f"{KEY} long, {ROW} long, n_tokens long, score double"
     )
+    mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
+    return scored.withColumn("mean_score", mean)
