@@ -384,6 +384,59 @@ def lineage_approved_inputs(spark, sf_dir):
     return lineage.approved_inputs(chain, results).select("organization_id", "source_task_run_id", "task_run_id")
 
 
+_FORGED = f"{O} % 1009 IN (500, 501)"
+_LONG = (
+    f"SELECT 'org' || CAST(({O} // 97) % 3 AS STRING) AS organization_id, CAST({O} AS STRING) AS task_run_id,"
+    f" CASE WHEN {_FORGED} THEN CAST({O} + CASE {O} % 1009 WHEN 500 THEN 1 ELSE -1 END AS STRING)"
+    f" WHEN {O} % 97 = 0 THEN NULL ELSE CAST({O} - 1 - o_custkey % 2 AS STRING) END AS source_task_run_id FROM orders"
+)
+
+
+@query(
+    "lineage_roots",
+    f"""WITH RECURSIVE runs AS ({_LONG}),
+        known AS (SELECT r.*, p.task_run_id AS parent FROM runs r LEFT JOIN runs p
+            ON p.organization_id = r.organization_id AND p.task_run_id = r.source_task_run_id),
+        down AS (SELECT organization_id, task_run_id, task_run_id AS root_run_id, 0 AS depth FROM known WHERE parent IS NULL
+            UNION ALL SELECT k.organization_id, k.task_run_id, d.root_run_id, d.depth + 1 FROM known k
+            JOIN down d ON d.organization_id = k.organization_id AND d.task_run_id = k.parent)
+    SELECT organization_id, task_run_id, root_run_id, depth FROM runs LEFT JOIN down USING (organization_id, task_run_id)""",
+)
+def lineage_roots(spark, sf_dir):
+    """Chains of up to 96 steps, with runs that name each other as their source."""
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return lineage.roots(spark.sql(_LONG.replace("//", "div")))
+
+
+_SOURCED = _CHAIN.replace(" FROM orders", ", CASE WHEN o_custkey % 6 <> 0 THEN 's' || CAST(o_custkey % 9 AS STRING) END AS data_source_id FROM orders")
+_USABLE = (
+    "SELECT 's' || CAST(c_custkey % 8 AS STRING) AS id, 'org' || CAST(c_custkey % 3 AS STRING) AS organization_id,"
+    " c_custkey % 8 <> 5 AS is_active FROM customer"
+)
+
+
+@query(
+    "lineage_gate_sources",
+    f"""WITH runs AS ({_SOURCED}), sources AS (SELECT DISTINCT * FROM ({_USABLE}) WHERE is_active),
+        j AS (SELECT r.*, u.task_type AS upstream_type, u.result_status AS upstream_status, s.id AS usable,
+            CASE r.task_type WHEN 'transform' THEN 'sync' WHEN 'standardize' THEN 'transform' WHEN 'match' THEN 'standardize'
+             WHEN 'export' THEN 'match' END AS wants
+        FROM runs r LEFT JOIN runs u ON u.organization_id = r.organization_id AND u.task_run_id = r.source_task_run_id
+        LEFT JOIN sources s ON s.organization_id = r.organization_id AND s.id = r.data_source_id)
+    SELECT organization_id, task_run_id, task_type, source_task_run_id, upstream_status,
+        CASE WHEN data_source_id IS NOT NULL AND usable IS NULL THEN 'source_inactive'
+             WHEN wants IS NULL THEN CASE WHEN source_task_run_id IS NOT NULL THEN 'source_not_allowed' END
+             WHEN source_task_run_id IS NULL THEN 'source_required' WHEN upstream_type IS NULL THEN 'source_not_found'
+             WHEN upstream_type <> wants THEN 'source_wrong_type' WHEN upstream_status IS NULL THEN 'source_has_no_result'
+             WHEN wants <> 'sync' AND upstream_status <> 'approved' THEN 'source_not_approved' END AS block_reason FROM j""",
+)
+def lineage_gate_sources(spark, sf_dir):
+    """The gate with the test of the data source: it has to be an active one of the run's organization."""
+    _views(spark, sf_dir)
+    load(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return lineage.gate_report(spark.sql(_SOURCED), spark.sql(_USABLE))
+
+
 # ---- versioned configuration -----------------------------------------------------------------------
 
 _SETS = (
@@ -443,6 +496,22 @@ def rule_set_versions(spark, sf_dir):
     return _published(spark, sf_dir).select("id", "organization_id", "data_source_id", "version", "is_active")
 
 
+_WANTED = "SELECT DISTINCT 'org' || CAST(p_partkey % 4 AS STRING) AS organization_id, p_brand AS data_source_id FROM part"
+
+
+@query(
+    "rule_set_resolved",
+    f"""{_PUBLISHED}, wanted AS ({_WANTED}), a AS (SELECT * FROM published WHERE is_active)
+    SELECT w.organization_id, w.data_source_id, coalesce(o.id, t.id) AS rule_set_id FROM wanted w
+    LEFT JOIN a o ON o.organization_id = w.organization_id AND o.data_source_id = w.data_source_id
+    LEFT JOIN a t ON t.organization_id = w.organization_id AND t.data_source_id IS NULL""",
+)
+def rule_set_resolved(spark, sf_dir):
+    """The rule set of each data source: its own, else its tenant's."""
+    published = _published(spark, sf_dir)
+    return config_tables.resolved_rule_sets(published, spark.sql(_WANTED))
+
+
 @query("rule_set_latest", f"{_PUBLISHED} SELECT id, version FROM published WHERE is_active")
 def rule_set_latest(spark, sf_dir):
     return config_tables.latest_rule_sets(_published(spark, sf_dir)).select("id", "version")
@@ -580,6 +649,23 @@ def audit_runs_page(spark, sf_dir):
     return audit.page(log, "task_runs", 100).select("id", "created_at")
 
 
+_EXCLUSIONS = (
+    f"SELECT CAST({L} AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, 'x' || CAST({L} % 5 AS STRING) AS export_run_id,"
+    f" 'g' || CAST({L} % 40 AS STRING) AS match_group_id, {L} AS row_index FROM lineitem"
+)
+
+
+@query(
+    "audit_exclusions",
+    f"SELECT id, row_index FROM ({_EXCLUSIONS}) WHERE export_run_id = 'x2' AND match_group_id = 'g7'",
+)
+def audit_exclusions(spark, sf_dir):
+    """The exclusion log of one run, by the group that a row was excluded for."""
+    load(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    log = spark.sql(_EXCLUSIONS)
+    return audit.select_rows(log, export_run_id="x2", match_group_id="g7", row_index=None).select("id", "row_index")
+
+
 @query("audit_total", f"WITH {CTES} SELECT count(*) AS total FROM match_decisions WHERE decision = 'ambiguous'")
 def audit_total(spark, sf_dir):
     return audit.total(audit.select_rows(_views(spark, sf_dir)["match_decisions"], decision="ambiguous"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidyledger.config import LookupTables, MatchField, MatchRules
+
 COMPARISONS = ("exact", "normalized_exact")
+# A stage's rules become literals of its plan. Larger lookups are joined (``functions.lookups.join_lookup``).
+MOST_ENTRIES = 10_000
 
 
 def latest_rule_sets(rule_sets: DataFrame) -> DataFrame:
@@ -108,3 +112,55 @@ def taken_names(entries: DataFrame, name: str = "name") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+
+
+def resolved_rule_sets(rule_sets: DataFrame, sources: DataFrame) -> DataFrame:
+    """(organization_id, data_source_id, rule_set_id) for each of the ``sources``: the latest active rule set of the
+    data source, else that of the whole tenant, else null."""
+    latest = latest_rule_sets(rule_sets).select("organization_id", "data_source_id", F.col("id").alias("_id"))
+    own = latest.where(F.col("data_source_id").isNotNull()).withColumnRenamed("_id", "_own")
+    wide = latest.where(F.col("data_source_id").isNull()).select("organization_id", F.col("_id").alias("_wide"))
+    wanted = sources.select("organization_id", "data_source_id").distinct()
+    found = wanted.join(own, ["organization_id", "data_source_id"], "left").join(wide, "organization_id", "left")
+    return found.select("organization_id", "data_source_id", F.coalesce("_own", "_wide").alias("rule_set_id"))
+
+
+def _all_of(rows: DataFrame, what: str) -> list:
+    found = rows.limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} {what} in one scope")
+    return found
+
+
+def load_match_rules(
+    rule_sets: DataFrame, fields: DataFrame, organization_id: str, data_source_id: str
+) -> MatchRules | None:
+    """Rules that apply to a data source: its own, else the tenant's, fields in the order of their creation.
+
+    Without any only exact rows match.
+    """
+    mine = rule_sets.where(F.col("organization_id") == organization_id)
+    mine = mine.where(F.col("data_source_id").isNull() | (F.col("data_source_id") == data_source_id))
+    latest = latest_rule_sets(mine).orderBy(F.col("data_source_id").isNull()).limit(1).collect()
+    if not latest:
+        return None
+    (chosen,) = latest
+    own = fields.where(F.col("rule_set_id") == chosen["id"]).orderBy("created_at", "id")
+    found = _all_of(own.select("column_name", "comparison_type", "weight"), "fields")
+    return MatchRules(
+        float(chosen["duplicate_threshold"]),
+        float(chosen["review_threshold"]),
+        tuple(MatchField(r["column_name"], r["comparison_type"], float(r["weight"])) for r in found),
+    )
+
+
+def load_lookups(entries: DataFrame, organization_id: str) -> LookupTables:
+    """Active lookup entries of a tenant by field type; those without one hold for all types. Keys in lower case."""
+    mine = entries.where("is_active").where(F.col("organization_id") == organization_id)
+    rows = _all_of(mine.select("field_type", _entry_key("lookup_key").alias("key"), "lookup_value", "id").orderBy("id"), "entries")
+    scoped: dict[str, dict[str, str]] = {}
+    general: dict[str, str] = {}
+    for r in rows:
+        table = general if r["field_type"] is None else scoped.setdefault(r["field_type"], {})
+        table[r["key"]] = r["lookup_value"]
+    return LookupTables(scoped, general)

@@ -57,7 +57,8 @@ def _pending(runs: DataFrame, org: str, category: str, source: str, label: str)
 
 def _ambiguous(decisions: DataFrame, runs: DataFrame, org: str) -> DataFrame:
     open_pairs = decisions.where((F.col("organization_id") == org) & (F.col("decision") == "ambiguous"))
-    parents = runs.select(F.col("id").alias("match_run_id"), "task_id", "task_run_id", "data_source_id")
+    mine = runs.where(F.col("organization_id") == org)
+    parents = mine.select(F.col("id").alias("match_run_id"), "task_id", "task_run_id", "data_source_id")
     return open_pairs.join(parents, "match_run_id").select(
         "organization_id", F.col("id").alias("reference_id"), "task_id", "task_run_id", "data_source_id",
         _text("MATCHING").alias("review_category"), _text("AMBIGUOUS").alias("review_type"),
@@ -77,13 +78,25 @@ def _failed(task_runs: DataFrame, tasks: DataFrame, org: str) -> DataFrame:
     )
 
 
-def _downloads(events: DataFrame, runs: DataFrame, key: str, org: str) -> DataFrame:
+def _downloads(events: DataFrame, tables: dict[str, DataFrame], org: str) -> DataFrame:
+    """Failed downloads with the run they belong to: one scan of the events, whichever of the keys they carry."""
     broken = F.col("outcome") == "integrity_failed"
-    failed = events.where(
-        (F.col("organization_id") == org) & F.col(key).isNotNull() & F.col("outcome").isin(*DOWNLOAD_FAILURES)
+    failed = events.where((F.col("organization_id") == org) & F.col("outcome").isin(*DOWNLOAD_FAILURES))
+    keys = F.array(*[
+        F.struct(F.lit(t).alias("_table"), F.col(key).alias("_parent")) for t, key in DOWNLOAD_PARENTS
+    ])
+    carried = F.inline(F.filter(keys, lambda k: k["_parent"].isNotNull()))
+    spread = failed.select("organization_id", "id", "outcome", "failure_reason_code", "created_at", carried)
+    parents = reduce(
+        DataFrame.unionByName,
+        [
+            tables[t].where(F.col("organization_id") == org).select(
+                F.lit(t).alias("_table"), F.col("id").alias("_parent"), "task_id", "task_run_id", "data_source_id"
+            )
+            for t, _ in DOWNLOAD_PARENTS
+        ],
     )
-    parents = runs.select(F.col("id").alias(key), "task_id", "task_run_id", "data_source_id")
-    return failed.join(parents, key).select(
+    return spread.join(parents, ["_table", "_parent"]).select(
         "organization_id", F.col("id").alias("reference_id"), "task_id", "task_run_id", "data_source_id",
         _text("DOWNLOAD").alias("review_category"),
         F.when(broken, "INTEGRITY_FAILURE").otherwise("FAILED").alias("review_type"),
@@ -99,9 +112,7 @@ def queue(tables: dict[str, DataFrame], organization_id: str) -> DataFrame:
     branches = [_pending(tables[t], org, category, source, label) for t, category, source, label in PENDING]
     branches.append(_ambiguous(tables["match_decisions"], tables["match_runs"], org))
     branches.append(_failed(tables["task_runs"], tables["tasks"], org))
-    branches += [
-        _downloads(tables["artifact_download_events"], tables[t], key, org) for t, key in DOWNLOAD_PARENTS
-    ]
+    branches.append(_downloads(tables["artifact_download_events"], tables, org))
     return reduce(DataFrame.unionByName, branches)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidyledger import config
 from tidyledger.operators import classify, clean, export, profile, standardize
 from tidyledger.operators.match import match
+from tidyledger.plans import config_tables
 from tidyledger.plans.onerow import beside
 from tidyledger.sources import sinks
 from tidyledger.sources.csv import CsvScan, read_csv
@@ -149,9 +150,10 @@ def run_standardize(
     task_run_id: str,
     data_source_id: str = "",
     settings: config.StandardizeConfig = config.StandardizeConfig(),
-    lookups: config.LookupTables = config.LookupTables(),
+    lookups: config.LookupTables | None = None,
     limits: config.AuditLimits = config.AuditLimits(),
 ) -> None:
+    """Column mappings come from the workspace's tables, and so do lookup entries where none are passed."""
     if ws.result("standardization_runs", task_run_id) is not None:
         return
     headers = ws.approved("cleaning_runs", source_run)["headers"]
@@ -160,6 +162,9 @@ def run_standardize(
     overrides = {}
     if mappings is not None:
         overrides = classify.load_overrides(ws.spark, mappings, ws.organization_id, data_source_id, headers)
+    if lookups is None:
+        entries = ws.read("standardization_lookup_entries")
+        lookups = config.LookupTables() if entries is None else config_tables.load_lookups(entries, ws.organization_id)
     result = standardize.standardize(table, classify.classify_headers(headers, overrides), settings, lookups, limits)
     files = ws.store_rows("standardized", result.table, task_run_id)
     ws.log("standardization_changes", result.changes, task_run_id)
@@ -173,9 +178,15 @@ def run_match(
     rules: config.MatchRules | None = None,
     limits: config.MatchLimits = config.MatchLimits(),
     audit: config.AuditLimits = config.AuditLimits(),
+    data_source_id: str = "",
 ) -> None:
+    """Where no rules are passed, those of the workspace's rule-set tables apply: the data source's, else the tenant's."""
     if ws.result("match_runs", task_run_id) is not None:
         return
+    if rules is None:
+        sets, fields = ws.read("match_rule_sets"), ws.read("match_rule_fields")
+        if sets is not None and fields is not None:
+            rules = config_tables.load_match_rules(sets, fields, ws.organization_id, data_source_id)
     headers = ws.approved("standardization_runs", source_run)["headers"]
     result = match(ws.load_rows("standardized", source_run, headers), rules, limits, audit, task_run_id)
     ws.log("match_groups", result.groups, task_run_id)
