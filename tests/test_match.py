@@ -242,3 +242,36 @@ def test_chain_over_all_partitions(spark, monkeypatch, held):
     frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(9)
     found = {r.node: r.root for r in connected_components(frame).collect()}
     assert found == {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(300)}
+
+
+@pytest.mark.parametrize("fields,low,high", [(8, 0.6, 0.8), (12, 0.45, 0.7), (12, 0.05, 0.3), (10, 1.0, 1.0)])
+def test_lists_of_rare_values_lose_no_pair(spark, monkeypatch, fields, low, high):
+    from tidyledger.operators import match as module
+
+    monkeypatch.setattr(module, "TUPLES", 7)
+    rng = random.Random(fields)
+    headers = [f"h{i}" for i in range(fields)]
+    rows = [["k"] + [rng.choice(["a", "b", ""] if i % 3 else ["a", *map(str, range(9))]) for i in range(1, fields)] for _ in range(70)]
+    rows += [[*rows[n][: n % fields], *rows[n + 1][n % fields :]] for n in range(30)] + [["z", *rows[0][1:]], ["z", *rows[1][1:]]]
+    spec = [MatchField("h0", weight=1.5)] + [MatchField(h, weight=0.5 + i % 4) for i, h in enumerate(headers[1:])]
+    rules = MatchRules(high, low, tuple(spec))
+    expected = brute_match(rows, headers, rules, 10**9, 20)
+    got = match(cells(spark, rows, headers), rules)
+    s = got.summary.first()
+    assert (s.total_comparisons_count, s.duplicate_pairs_count, s.ambiguous_pairs_count) == (
+        expected["comparisons"], expected["duplicates"], expected["ambiguous"],
+    )
+    groups = {r.canonical_row_index: (r.record_count, round(r.confidence_score, 9)) for r in got.groups.collect()}
+    assert groups == {k: (n, round(c, 9)) for k, (n, c) in expected["groups"].items()}
+
+
+def test_pairs_looked_at_grow_below_the_square(spark):
+    """A block's tuples with names, numbers and some fields of few values: joined rows per tuple do not grow with it."""
+    rules = MatchRules(0.8, 0.6, (MatchField("h0", weight=2.0), *(MatchField(f"h{i}") for i in range(1, 9))))
+    looked = []
+    for size in (500, 4_000):
+        rng = random.Random(4)
+        rows = [["k"] + [str(rng.randrange(size)) for _ in range(5)] + [rng.choice("ab") for _ in range(3)] for _ in range(size)]
+        lists = match(cells(spark, rows, [f"h{i}" for i in range(9)]), rules)._lists
+        looked.append(lists.groupBy("block_key", "field", "value").count().selectExpr("sum(count * count)").first()[0] / size)
+    assert looked[1] < 3 * looked[0] and looked[1] < 40

@@ -269,7 +269,7 @@ class Match:
             weighted(ambiguous).alias("ambiguous"),
         ).where("comparisons > 0")
 
-    # ---- many fields: distinct tuples of a block, scored pair by pair -------------------------------
+    # ---- many fields: distinct tuples of a block that share a value rare enough to decide -------------------------------
 
     @property
     def _many(self) -> bool:
@@ -284,32 +284,85 @@ class Match:
         """(block_key, f.., head, n): each distinct tuple of compared values of a block, its first row and its rows."""
         return self.compared.groupBy(*self._tuple_keys).agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"))
 
+    @property
+    def _needed(self) -> float:
+        """Weight that the free fields two tuples agree on must have at least, for the review threshold."""
+        total = sum(f.weight for f in self.rules.fields)
+        return self.rules.review_threshold * total - sum(self.rules.fields[i].weight for i in self._always) - 1e-9
+
+    @cached_property
+    def _lists(self) -> DataFrame:
+        """(block_key, field, value, parts, head, n, f.., order): tuples under those of their values that can decide.
+
+        A tuple's values are ordered from the rarest in its block on. Two tuples that agree on enough weight share a
+        value within the first values of both, those before which less than all but the needed weight has gone by: the
+        first value they share lies there. So only the inverted lists of these values are joined; frequent values
+        mostly come last and have no list. ``order`` has the frequency of each free field's value.
+        """
+        values = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"f{i}").alias("value")) for i in self._free])
+        keys = ["block_key", "field", "value"]
+        each = self._tuples.select("block_key", "head", F.inline(values))
+        rarity = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
+        sized = attach_group(each, rarity, keys, "found")
+        weights = F.array(*[F.lit(float(f.weight)) for f in self.rules.fields])
+        ranked = sized.groupBy("block_key", "head").agg(
+            F.sort_array(F.collect_list(F.struct("found", "field", "value"))).alias("ranked")
+        )
+        free = sum(self.rules.fields[i].weight for i in self._free)
+
+        def before(place: Column) -> Column:
+            earlier = F.slice("ranked", F.lit(1), place)
+            return F.aggregate(earlier, F.lit(0.0), lambda sum_, v: sum_ + F.get(weights, v["field"]))
+
+        decides = F.filter("ranked", lambda v, place: F.lit(free) - before(place) >= self._needed)
+        by_field = F.array_sort(F.transform("ranked", lambda v: F.struct(v["field"].alias("field"), v["found"].alias("found"))))
+        told = ranked.select("block_key", "head", by_field["found"].alias("order"), decides.alias("decides"))
+        listed = self._tuples.join(told, ["block_key", "head"]).withColumn("d", F.explode("decides"))
+        parts = F.ceil(F.col("d.found") / F.lit(TUPLES)).cast("int").alias("parts")
+        names = [f"f{i}" for i in self._free]
+        return listed.select("block_key", "d.field", "d.value", "d.found", parts, "head", "n", "order", *names)
+
     @cached_property
     def _scored_tuples(self) -> DataFrame:
         """(block_key, a, b, pairs, score, values of both): two tuples of a block that reach the review threshold.
 
-        A block of many tuples is dealt out in pieces, so that no task has a whole one.
+        Tuples meet in the list of the first value they share, once. A list of many tuples is dealt out in pieces, so
+        that no task has a whole one. Where every pair of a block reaches the threshold its tuples are one list.
         """
         names = [f"f{i}" for i in self._free]
-        parts = F.ceil(F.count(F.lit(1)) / F.lit(TUPLES)).cast("int").alias("parts")
-        placed = self._tuples.join(self._tuples.groupBy("block_key").agg(parts), "block_key")
+        whole = self._needed <= 0
+        if whole:
+            parts = F.ceil(F.count(F.lit(1)) / F.lit(TUPLES)).cast("int").alias("parts")
+            placed = self._tuples.join(self._tuples.groupBy("block_key").agg(parts), "block_key")
+            keys, more = ["block_key"], []
+        else:
+            placed, keys, more = self._lists, ["block_key", "field", "value"], ["order"]
         left = placed.select(
-            "block_key", F.pmod(F.xxhash64("head"), "parts").alias("part"), F.col("head").alias("a"),
-            F.col("n").alias("n_a"), *[F.col(c).alias(f"a_{c}") for c in names],
+            *keys, F.pmod(F.xxhash64("head"), "parts").alias("part"), F.col("head").alias("a"),
+            F.col("n").alias("n_a"), *[F.col(c).alias(f"a_{c}") for c in names], *more,
         )
         right = placed.select(
-            "block_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"),
+            *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"),
             F.col("head").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"b_{c}") for c in names],
         )
-        matched, total = F.lit(0.0), 0.0
+        matched, total, agreed = F.lit(0.0), 0.0, {}
         for i, field in enumerate(self.rules.fields):
             weight = F.lit(float(field.weight))
             agree = F.lit(True) if i in self._always else F.col(f"a_f{i}") == F.col(f"b_f{i}")
+            agreed[i] = agree
             matched, total = matched + F.when(agree, weight).otherwise(0.0), total + field.weight
         score = matched / F.lit(total) if total > 0 else F.lit(0.0)
-        met = left.join(right, ["block_key", "part"]).where("a < b").withColumn("score", score)
+        met = left.join(right, [*keys, "part"]).where("a < b").withColumn("score", score)
+        met = met.where(F.col("score") >= self.rules.review_threshold)
+        if not whole:
+            shared = F.array(*[
+                F.when(agreed[i], F.struct(F.get("order", F.lit(place)).alias("found"), F.lit(i).alias("field")))
+                for place, i in enumerate(self._free)
+            ])
+            met = met.where(F.array_min(shared)["field"] == F.col("field"))
         number = F.col("n_a").cast("decimal(19,0)") * F.col("n_b").cast("decimal(18,0)")
-        return met.where(F.col("score") >= self.rules.review_threshold).withColumn("pairs", number)
+        sides = [F.col(f"{side}_{c}") for side in "ab" for c in names]
+        return met.select("block_key", "a", "b", *sides, "score", number.alias("pairs"))
 
     @property
     def _scored_block_pairs(self) -> DataFrame:
