@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,26 +68,116 @@ def content_hash(table: CellTable) -> DataFrame:
     )
 
 
+MOST_RUNS = 10_000  # runs of one call; each is committed by itself
+ATTEMPTS, COMMITS = "_attempts", "_commits"  # below a log; Spark lists neither with the log's own rows
+
+
+class _Folder:
+    """A folder of any file system Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._options = spark._sc._gateway.new_array(self._hadoop.Options.Rename, 0)
+        self.root = self._hadoop.Path(path)
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self.root.getFileSystem(self._conf)
+
+    def _at(self, name: str):
+        return self._hadoop.Path(self.root, name)
+
+    def put_if_absent(self, name: str, content: str) -> bool:
+        """False if the file exists already; it has its whole content from the moment it exists.
+
+        Written under another name and renamed without overwriting, which a distributed file system does in one step.
+        """
+        made = self._at(f"{name}.{uuid.uuid4()}")
+        out = self._fs.create(made, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        if not self._fs.exists(self._at(name)):
+            files = self._hadoop.FileContext.getFileContext(self.root.toUri(), self._conf)
+            try:
+                files.rename(self._fs.makeQualified(made), self._fs.makeQualified(self._at(name)), self._options)
+                return True
+            except Py4JJavaError as lost:
+                if "FileAlreadyExists" not in lost.java_exception.getClass().getName():
+                    raise
+        self._fs.delete(made, False)
+        return False
+
+    def read(self, name: str) -> str | None:
+        if not self._fs.exists(self._at(name)):
+            return None
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def move_into(self, name: str, target: str) -> None:
+        """Move the files of each folder of ``name`` into the folder of the same name below ``target``."""
+        if not self._fs.exists(self._at(name)):
+            return
+        for folder in self._fs.listStatus(self._at(name)):
+            to = self._hadoop.Path(self._at(target), folder.getPath().getName())
+            self._fs.mkdirs(to)
+            for file in self._fs.listStatus(folder.getPath()):
+                self._fs.rename(file.getPath(), self._hadoop.Path(to, file.getPath().getName()))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+
+def _place(tenant: str, run: str) -> str:
+    return hashlib.sha256(f"{tenant}\n{run}".encode()).hexdigest()
+
+
 def append_once(new: DataFrame, path: str, key: str = "task_run_id") -> None:
     """Append result rows of runs not stored yet; a repeated run leaves its first result in place.
 
-    Partitioned by tenant, so every later query prunes to one. The stored keys are read for the new rows' tenants
-    only, and joined by tenant and key.
+    Rows go to a folder of this attempt first. One file per run, put only where there is none, makes an attempt the
+    run's result, whoever else writes at the same time; its rows then move to the log, partitioned by tenant, so every
+    later query prunes to one. A plain read of ``path`` sees committed rows only. Where an attempt died after its
+    commit, the next one of that run moves what is left; where it died before, its rows are never seen. A run without
+    rows is committed as well only if the frame has a row of it.
     """
-    spark = new.sparkSession
-    stored = read_if_present(spark, path)
-    if stored is not None:
-        tenant = "organization_id"
-        kept = stored.select(tenant, key).join(new.select(tenant, key).distinct(), [tenant, key], "left_semi")
-        new = new.join(kept.distinct(), [tenant, key], "left_anti")
-    new.write.mode("append").partitionBy("organization_id").parquet(path)
+    spark, tenant, attempt = new.sparkSession, "organization_id", str(uuid.uuid4())
+    runs = new.select(tenant, key).distinct().limit(MOST_RUNS + 1).collect()
+    if len(runs) > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs at once")
+    log = _Folder(spark, path)
+    places = {(r[0], r[1]): _place(r[0], r[1]) for r in runs}
+    open_runs = []
+    for run, place in places.items():
+        winner = log.read(f"{COMMITS}/{place}")
+        if winner is None:
+            open_runs.append(run)
+        else:
+            _publish(log, place, winner)
+    if not open_runs:
+        return
+    wanted = spark.createDataFrame([(*r, places[r]) for r in open_runs], f"{tenant} string, {key} string, _place string")
+    mine = new.join(F.broadcast(wanted), [tenant, key])
+    mine.write.partitionBy("_place", tenant).parquet(f"{path}/{ATTEMPTS}/{attempt}")
+    for run in open_runs:
+        place = places[run]
+        if log.put_if_absent(f"{COMMITS}/{place}", attempt):
+            _publish(log, place, attempt)
+        else:
+            _publish(log, place, log.read(f"{COMMITS}/{place}"))
+    log.delete(f"{ATTEMPTS}/{attempt}")
+
+
+def _publish(log: _Folder, place: str, attempt: str) -> None:
+    log.move_into(f"{ATTEMPTS}/{attempt}/_place={place}", ".")
 
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
+        # A log whose first run is not committed yet has no file of its own.
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
