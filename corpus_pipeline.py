@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyledger.llm import decontaminate, exact, packing, quality, simhash
+from tidyledger.llm.cells import cut
 from tidyledger.llm.queries import GOOD, quality_model
 from tidyledger.session import ensure_checkpoint_dir, tune
 
@@ -20,19 +21,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents under a number that depends on nothing but themselves, so that any later scan gives the same one."""
-    return docs.withColumn(NUMBER, F.xxhash64("doc_id", "text"))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a number per row, and its name: one that no column has.
 
-
-def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of numbered documents whose number is among the operator's ``row_key``."""
-    return docs.join(keys.select(F.col("row_key").alias(NUMBER)), NUMBER, "left_semi")
+    Numbered rows are stored, so the operator and the choice by its result see the same numbers. No hash of any length
+    stands for a document, hence none is lost to one.
+    """
+    name = NUMBER
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """Rows that repeat a doc_id and its text are one document."""
-    return docs.dropDuplicates([NUMBER]).drop(NUMBER)
+def _chosen(docs: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """Rows of numbered documents whose number is among the operator's ``row_key``."""
+    return docs.join(keys.select(F.col("row_key").alias(name)), name, "left_semi").drop(name)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,24 +46,24 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    docs = _numbered(docs)
-    found = exact.exact_duplicates(docs, "text", "doc_id", NUMBER)
-    return _once(_chosen(docs, found.where("is_canonical")))
+    docs, name = _numbered(docs)
+    found = exact.exact_duplicates(docs, "text", "doc_id", name)
+    return _chosen(docs, name, found.where("is_canonical"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, by operator 6's radius: most pairs from similarity 0.95 on."""
-    docs = _numbered(docs)
-    found = simhash.near_duplicates(docs, "text", "doc_id", NUMBER)
-    return _once(_chosen(docs, found.where("is_canonical")))
+    docs, name = _numbered(docs)
+    found = simhash.near_duplicates(docs, "text", "doc_id", name)
+    return _chosen(docs, name, found.where("is_canonical"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that quote ten or more words in a row of a benchmark item go."""
-    docs = _numbered(docs)
+    docs, name = _numbered(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated_cells(docs, items, "text", "text", "doc_id", "item_id", NUMBER)
-    return _chosen(docs, found.where(F.size("spans") == 0)).drop(NUMBER)
+    found = decontaminate.contaminated_cells(docs, items, "text", "text", "doc_id", "item_id", name)
+    return _chosen(docs, name, found.where(F.size("spans") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,13 +82,28 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what a stage returns is stored in the shared folder and read again."""
+    """All stages over the documents table; what a stage returns is stored in the shared folder and read again.
+
+    A stage's result goes once that of the next one is stored; that of the last stored stage stays, as the returned
+    frame reads it. Documents without text count as empty ones: they are judged by their score, the copies among them
+    are dropped, and the one that is left is packed as an end mark alone. Documents without doc_id are kept as all
+    others, but have no label. Rows that repeat a document are copies of it. Other columns pass unchanged through all
+    stages but the last, whatever their names. An empty table gives no rows.
+    """
     tune(spark)
     ensure_checkpoint_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

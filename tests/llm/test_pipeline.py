@@ -57,3 +57,51 @@ def hits(text, items, known):
             known.update({tuple(own[i : i + 10]): 1 for i in range(max(1, len(own) - 9))})
     own = words(text.encode())
     return any(tuple(own[i : i + 10]) in known for i in range(len(own)))
+
+
+def small(spark, folder, documents):
+    """Driver tables with some documents of their own, and a column of the name the stages would choose."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _pipeline_row string, row_key int"
+    rows = [(i, t, "en", "s", len(t or ""), "clash", 1) for i, t in documents]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    items = [(1, "one two three four five six seven eight nine ten eleven")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    labels = spark.createDataFrame([(-5, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_documents(spark, tmp_path):
+    quote = "He said one two three four five six seven eight nine ten and left"
+    documents = [(1, None), (2, ""), (3, " \n"), (4, "a text of its own"), (4, "a text of its own"), (None, "no id here at all")]
+    documents += [(5, quote), (6, "word " * 120_000), (7, "another text under one id"), (7, "and a second text under that id")]
+    folder = small(spark, tmp_path, documents)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns, name
+        assert {r._pipeline_row for r in docs.collect()} == {"clash"}
+    kept = sorted((repr(r.doc_id), (r.text or "")[:20]) for r in docs.collect())
+    wanted = [(1, ""), (3, ""), (4, "a text of its own"), (None, "no id here at all"), (6, "word " * 4)]
+    wanted += [(7, "another text under o"), (7, "and a second text un")]
+    # Of the texts without a word the longest stays.
+    assert [k for k in kept if k[1].strip()] == sorted((repr(i), t) for i, t in wanted if t)
+    assert [k for k in kept if not k[1].strip()] == [("3", " \n")]
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} <= {3, 4, None, 6, 7} and all(r.length <= 1024 for r in packed)
+
+
+def test_empty_table(spark, tmp_path):
+    folder = small(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_results_of_stages_are_removed(spark, tmp_path):
+    import pathlib
+
+    folder = small(spark, tmp_path, [(i, f"text number {i} of them") for i in range(5)])
+    shared = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    stored = lambda: {p.name for name, _ in corpus_pipeline.STAGES for p in shared.glob(f"{name}-*")}
+    before = stored()
+    assert corpus_pipeline.run(spark, folder).count() == 5
+    assert [n.rsplit("-", 5)[0] for n in stored() - before] == [corpus_pipeline.STAGES[-2][0]]

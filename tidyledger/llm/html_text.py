@@ -38,6 +38,9 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 QUOTE = re.compile("[\"'>]")
 DOWN = 0.25  # what points count within a container that only its name speaks against, but that holds most of the page's
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH = 80  # characters, mostly no link text, from which a paragraph is running text
+SENTENCE = re.compile(r"[.!?…。:]['\"”’)\]]*$")
 
 
 class Node:
@@ -196,6 +199,28 @@ def _points(nodes: list[Node], gone: set[int]) -> Iterator[tuple[Node, float]]:
             yield node, (1 + node.commas + min(node.chars / 100, 3)) * (1 - node.density)
 
 
+def _free_forms(nodes: list[Node]) -> bool:
+    """Take forms that are wrapped around the page's text for plain containers: whether there were any.
+
+    Those that hold an article, or two paragraphs of running text or more and at least half of the page's.
+    """
+    if not any(n.tag == "form" for n in nodes):
+        return False
+    found, article = ({id(node): 0 for node in nodes} for _ in range(2))
+    total = 0
+    for node in reversed(nodes):
+        if node.tag in ("p", "pre", "td", "li", "blockquote") and node.chars >= PARAGRAPH and node.density < 0.5:
+            found[id(node)], total = 1, total + 1
+        article[id(node)] |= node.tag in ("article", "main")
+        if node.parent:
+            found[id(node.parent)] += found[id(node)]
+            article[id(node.parent)] |= article[id(node)]
+    around = [n for n in nodes if n.tag == "form" and (article[id(n)] or found[id(n)] >= max(2, total / 2))]
+    for node in around:
+        node.unwanted = False
+    return bool(around)
+
+
 def _judge_names(nodes: list[Node]) -> None:
     """Drop the containers that their names speak against, but only score down those that hold most of the page.
 
@@ -218,11 +243,13 @@ def _judge_names(nodes: list[Node]) -> None:
 
 
 def _blocks(node: Node) -> Iterator[str]:
-    """Texts of the blocks below a node in page order, without unwanted parts and lists of links.
+    """Texts of the blocks below a node in page order, without unwanted parts and menus.
 
-    Parts scored down for their names are unwanted beside what is not.
+    Parts scored down for their names are unwanted beside what is not. A list or table of links is a menu outside of
+    an article element, unless a heading stands right before it.
     """
     held: list[str] = []
+    last = ""
     todo: list[Node | str | None] = [node]
     while todo:
         item = todo.pop()
@@ -235,8 +262,11 @@ def _blocks(node: Node) -> Iterator[str]:
             held = []
         if item is None or item.unwanted or item.factor < node.factor:
             continue
-        if item.tag in ("ul", "ol", "table", "div", "section") and item.links >= 3 and item.density > 0.6:
+        listed = item.tag in ("ul", "ol", "table", "div", "section") and item.links >= 3 and item.density > 0.6
+        if listed and not item.inside and last not in HEADINGS:
             continue
+        if item.tag in BLOCK and item.chars:
+            last = item.tag
         if item.tag in BLOCK:
             todo.append(None)
         todo.extend(reversed(item.items))
@@ -248,6 +278,8 @@ def main_text(html: str) -> str:
     """Blocks of the article, joined by an empty line; '' if the page has no text."""
     nodes = parsed(html)
     _measure(nodes)
+    if _free_forms(nodes):
+        _measure(nodes)
     if not any(n.named for n in nodes):
         return _article(nodes)
     dropped = [n for n in nodes if n.named and not n.unwanted]
@@ -294,7 +326,10 @@ def _alike(sibling: Node, best: Node) -> bool:
     if sibling.unwanted or not sibling.chars or sibling.factor < best.factor:
         return False
     if sibling.tag == "p":
-        return sibling.density < 0.25 and (sibling.chars > 80 or sibling.links == 0)
+        if sibling.density < 0.25 and (sibling.chars > PARAGRAPH or sibling.links == 0):
+            return True
+        # A short sentence with a link in it is text, a row of links is not.
+        return sibling.density < 0.75 and bool(SENTENCE.search(" ".join(_blocks(sibling))))
     return sibling.score >= max(10.0 * best.factor, 0.2 * best.score) and sibling.density < 0.25
 
 
@@ -312,7 +347,8 @@ def extracted_cells(rows: DataFrame, cell: str, row_index: str = ROW) -> DataFra
     """(row_key, row_index, text, n_chars) of every row: the article in its HTML cell.
 
     Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, by
-    element, by name or by being lists of links. A container that only its name speaks against is scored down instead
+    element, by name or, outside of article elements and not under a heading, by being lists of links. A form that is
+    wrapped around the text of the page is no form. A container that only its name speaks against is scored down instead
     if it holds most of the page's points, and names do not count where they would leave no text. Paragraphs give their parent points for length and commas, less by
     the share of link text, and their grandparent half; the container with most points stays, with siblings of like
     points and bare paragraphs. Character references are decoded, white space in a block is one space, blocks stand in
