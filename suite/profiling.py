@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from suite.base import FIXTURES, fixture_sql, cells, load, query
-from tidyledger.operators import profile
+from tidyledger.operators import profile, sketch
 from tidyledger.plans.audit import total
+from tidyledger.session import ensure_checkpoint_dir
 from tidyledger.sources.tables import from_frame
 
 TABLES = {
@@ -113,6 +116,62 @@ def profile_samples_long_text(spark, sf_dir):
     return profile.column_samples(_table(spark, sf_dir, "documents"))
 
 
+# A sketch's distinct count has a standard error of 0.8 %; compared by its power of two, exactly for few values.
+_ROUGH = "CASE WHEN distinct_count <= 30 THEN distinct_count ELSE -CAST(round(log2(distinct_count)) AS BIGINT) END"
+_PARTS = 4  # sources that the rows of a table are taken for
+
+
+def _sketched(spark, sf_dir, name, parts=_PARTS):
+    """Sketches of each of some sources, stored one after the other: a later profile only reads what is new."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/sketches-{uuid.uuid4()}"
+    index, columns = TABLES[name]
+    frame = load(spark, sf_dir, name).withColumn("_row", F.expr(index))
+    for part in range(parts):
+        own = frame.where(F.pmod("_row", F.lit(parts)) == part) if parts > 1 else frame
+        made = sketch.column_sketches(from_frame(own, "_row", columns), f"s{part}")
+        made.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _rough(profiles):
+    return flat(profiles).withColumn("distinct_count", F.expr(_ROUGH))
+
+
+def _rough_sql(name: str) -> str:
+    return f"SELECT * REPLACE ({_ROUGH} AS distinct_count) FROM ({profile_sql(*TABLES[name], name)})"
+
+
+@query("profile_approximate", _rough_sql("lineitem"))
+def profile_approximate(spark, sf_dir):
+    """A profile without moving distinct values: their number comes from a sketch of fixed size."""
+    return _rough(sketch.merged_profiles(_sketched(spark, sf_dir, "lineitem", 1)))
+
+
+@query("profile_merged", _rough_sql("orders"))
+def profile_merged(spark, sf_dir):
+    """Four sources profiled one by one and merged: the profile of everything."""
+    return _rough(sketch.merged_profiles(_sketched(spark, sf_dir, "orders")))
+
+
+_MERGED_SAMPLES = f"""
+    WITH cells AS ({long_sql(*TABLES["part"], "part")}),
+    firsts AS (SELECT position, name, v, min((row_index % {_PARTS}) * 1000000000000 + row_index) AS f FROM cells
+               WHERE v <> '' GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY f) AS rank FROM firsts)
+    SELECT CAST(position AS INTEGER) AS position, name, CAST(rank AS INTEGER) AS rank, v AS value
+    FROM ranked WHERE rank <= 100"""
+
+
+@query("profile_merged_samples", _MERGED_SAMPLES)
+def profile_merged_samples(spark, sf_dir):
+    """First distinct values over all sources, by source and row, from the first ones of each."""
+    merged = sketch.merged_profiles(_sketched(spark, sf_dir, "part"))
+    return merged.select("position", "name", F.posexplode("retained_distinct_values").alias("rank", "value")).withColumn(
+        "rank", F.col("rank") + 1
+    )
+
+
 _ISSUES = f"""
     WITH profiles AS ({profile_sql("row_index", _MESSY, f"({fixture_sql('messy_customer')})")})
     SELECT 'inconsistent_column_type' AS type, position AS column_index, name AS column_name, inferred_type,

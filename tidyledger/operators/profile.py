@@ -70,7 +70,11 @@ def _stats(values: DataFrame) -> DataFrame:
         *per_type,
     )
     # Always true; it keeps first_row in use, so that this and _first_seen read one and the same shuffle.
-    stats = stats.where(F.col("first_row").isNotNull())
+    return judged(stats.where(F.col("first_row").isNotNull()))
+
+
+def judged(stats: DataFrame) -> DataFrame:
+    """Types of columns by the numbers of their non-blank cells of each type, ``n_<type>``."""
     counts = [F.col(f"n_{t}") for t in TYPE_PRIORITY]
     top = F.greatest(*counts)
     stats = stats.withColumn("_top", top)
