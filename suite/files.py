@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from suite.base import load, query
-from tidyledger.plans import verify
+from tidyledger.plans import order, verify
 from tidyledger.session import ensure_checkpoint_dir
 from tidyledger.sources import csv, sinks
 from tidyledger.sources.tables import from_frame
@@ -136,3 +136,28 @@ def verify_outputs(spark, sf_dir):
     with _ranges(spark):
         files = csv.fingerprints(spark, f"{path}/*/*/*.txt").checkpoint()
     return verify.verify_outputs(runs, files.select("path", F.col("digest").alias("sha256")))
+
+
+# ---- order under an index that is not dense --------------------------------------------------------
+
+# Unique numbers strewn over a million million.
+_SPARSE = "((l_orderkey * 10 + l_linenumber) * 2654435761) % 1000000000039"
+
+
+@query(
+    "number_sparse_index",
+    f"SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {_SPARSE}) - 1 AS position FROM lineitem",
+)
+def number_sparse_index(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_SPARSE} AS place")
+    return order.number_rows(rows, "place", "position").drop("place")
+
+
+@query(
+    "first_of_sparse_index",
+    f"SELECT l_orderkey, l_linenumber, {_SPARSE} AS place FROM lineitem ORDER BY place LIMIT 2000",
+)
+def first_of_sparse_index(spark, sf_dir):
+    """The head of a log in index order: the limit is the feature."""
+    rows = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_SPARSE} AS place")
+    return order.first_rows(rows, "place", 2000)
