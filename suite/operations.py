@@ -5,12 +5,15 @@ Each run table is derived from all rows of a driver table by the expressions bel
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from suite.base import load, query
 from tidyledger.functions.jsonscan import secret_keys
 from tidyledger.operators import expect
-from tidyledger.plans import audit, config_tables, lineage, retention, review_actions, review_queue, runs
+from tidyledger.plans import audit, config_tables, lineage, paging, retention, review_actions, review_queue, runs
+from tidyledger.session import ensure_checkpoint_dir
 
 NOW = "2000-06-01 00:00:00"
 O, C, L, E = "o_orderkey", "c_custkey", "l_orderkey", "event_id"
@@ -149,6 +152,37 @@ def review_queue_page(spark, sf_dir):
     return review_queue.page(review_queue.filtered(_views(spark, sf_dir), "org1"), limit=50, offset=100)
 
 
+def _stored_queue(spark, sf_dir, sort):
+    """The queue of a tenant, stored in the order of a column in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/queue-{uuid.uuid4()}"
+    paging.store_ordered(review_queue.filtered(_views(spark, sf_dir), "org1"), path, sort, 50)
+    return path
+
+
+@query(
+    "review_queue_deep_page",
+    f"{QUEUE} SELECT {_SHOWN} FROM queue ORDER BY created_at, reference_id LIMIT 100 OFFSET 900",
+)
+def review_queue_deep_page(spark, sf_dir):
+    """A page far from the start, by reading only the ranges of the stored queue that it lies in."""
+    return paging.stored_page(spark, _stored_queue(spark, sf_dir, "created_at"), "created_at", 100, 900)
+
+
+@query(
+    "review_queue_deep_by_confidence",
+    f"{QUEUE} SELECT {_SHOWN} FROM queue ORDER BY confidence_score ASC NULLS LAST, reference_id LIMIT 100 OFFSET 700",
+)
+def review_queue_deep_by_confidence(spark, sf_dir):
+    """The same by confidence, where very many items share a value or have none."""
+    return paging.stored_page(spark, _stored_queue(spark, sf_dir, "confidence_score"), "confidence_score", 100, 700)
+
+
+@query("review_queue_stored_total", f"{QUEUE} SELECT count(*) AS total FROM queue")
+def review_queue_stored_total(spark, sf_dir):
+    return paging.total(spark, _stored_queue(spark, sf_dir, "created_at"))
+
+
 @query(
     "review_queue_by_confidence",
     f"{QUEUE} SELECT {_SHOWN} FROM queue ORDER BY confidence_score ASC NULLS LAST, reference_id LIMIT 100 OFFSET 20",

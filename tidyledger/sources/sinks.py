@@ -59,12 +59,12 @@ def output_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_hash(table: CellTable) -> DataFrame:
-    """Digest of rows and their positions that needs no ordering: two 64-bit hashes summed over all rows."""
-    row = F.concat_ws("\u0001", F.col(ROW).cast("string"), *table.cells)
+    """Digest of rows and their positions that needs no ordering: parts of each row's SHA-256 summed over all rows."""
+    row = F.sha2(F.concat_ws("\u0001", F.col(ROW).cast("string"), *table.cells), 256)
+    parts = [F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts]
     return table.frame.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content_hash"),
-        F.coalesce(F.sum(F.hash(row).cast("long")), F.lit(0)).cast("string").alias("check_hash"),
+        F.count(F.lit(1)).alias("row_count"), sums[0].alias("content_hash"), sums[1].alias("check_hash")
     )
 
 
