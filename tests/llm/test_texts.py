@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidyledger.llm import chat
+from tidyledger.llm import chat, disclosure
 from tidyledger.llm.disclosure import disclosing_cells, entities, sanitised
 from tidyledger.llm.html_text import extracted_cells, main_text
 
@@ -86,6 +86,54 @@ def test_copies_of_one_text_reveal_nothing(spark):
     assert kinds == {"email"}
 
 
+def told(spark, rows, **parameters):
+    found = disclosing_cells(cells(spark, rows), "note", **parameters).collect()
+    texts = dict(rows)
+    return {r.row_index: sorted({texts[r.row_index][s.start : s.stop] for s in r.spans if s.kind == "term"}) for r in found}
+
+
+def test_the_name_beside_one_address_is_found_everywhere(spark):
+    """A term met with one entity alone, in texts that differ, and in a text that names the person only."""
+    fill = ["red", "green", "blue", "grey", "white", "black", "pink"]
+    rows = [(i, f"{fill[i % 7]} note {i} of Zebulon for z.k@mail.example {fill[i % 5]} and the {fill[i % 3]} rest {i}") for i in range(60)]
+    rows += [(100, "Yesterday zebulon came home")] + [(200 + i, f"note {i} of the {fill[i % 7]} day for and of the rest") for i in range(300)]
+    found = told(spark, rows)
+    assert all(found[i] == ["Zebulon"] for i in range(60)) and found[100] == ["zebulon"]
+    assert all(found[200 + i] == [] for i in range(300))
+    none = told(spark, [(i, rows[0][1]) for i in range(60)])
+    assert set(map(tuple, none.values())) == {()}
+
+
+def test_mutual_information_by_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    draw = random.Random(8)
+    people = [f"p{n}@mail.example" for n in range(6)]
+    rows = [
+        (i, " ".join([draw.choice("abcdefgh") + str(n % 3) for n in range(9)] + [f"name{who}" if draw.random() < 0.8 else "someone", people[who]]))
+        for i in range(150)
+        for who in [draw.randrange(6)]
+    ]
+    rows += [(500 + i, f"here name{i % 6} stands alone {i}") for i in range(30)]
+    counts = Counter(w.lower() for _, t in rows for w in disclosure.WORD.findall(t))
+    total, both, of = sum(counts.values()), Counter(), Counter()
+    for text in {t for _, t in rows}:
+        met = {(e, term) for _, e, term, _, _ in disclosure.company(text, disclosure.entities(text))}
+        both.update(met)
+        of.update({e for e, _ in met})
+    share = {
+        (e, t): math.log(n * total / (max(counts[t], n) * of[e])) / math.log(total / of[e]) for (e, t), n in both.items() if n >= 3
+    }
+    wanted = {t for (_, t), s in share.items() if s >= 0.7}
+    assert wanted and wanted != {t for _, t in both}
+    found = told(spark, rows, disclosure=0.7, support=3)
+    kinds = {w for terms in found.values() for w in terms}
+    assert wanted <= kinds
+    assert all(set(found[500 + i]) == ({f"name{i % 6}"} & wanted) for i in range(30))
+
+
 def test_sanitised(spark):
     rows = spark.createDataFrame([("to a@b.cd now",), (None,)], "note string")
     span = "array<struct<kind string, start int, stop int>>"

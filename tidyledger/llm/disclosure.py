@@ -6,12 +6,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyledger.llm.cells import CELL, KEY, ROW, cut, keyed
+from tidyledger.llm.decontaminate import _filter, _may_hold
+from tidyledger.llm.words import Memo
 
 # The kinds of protected entities, in order, and what they look like.
 KINDS = ("email", "ip", "card", "phone")
@@ -85,13 +88,15 @@ def company(text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[str,
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = [("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]
     near = [("kind", pa.string()), ("entity", pa.int64()), ("term", pa.string())]
-    near += [("start", pa.int32()), ("stop", pa.int32())]
+    near += [("start", pa.int32()), ("stop", pa.int32()), ("text", pa.int64())]
+    names = [n for n, _ in near]
     for batch in batches:
         spans, nears = [], []
         for text in batch.column(2).to_pylist():
             found = entities(text)
             spans.append([dict(zip(("kind", "start", "stop"), f)) for f in found])
-            nears.append([dict(zip(("kind", "entity", "term", "start", "stop"), c)) for c in company(text, found)])
+            own = xxhash.xxh64_intdigest(text) >> 1 if found else 0
+            nears.append([dict(zip(names, (*c, own))) for c in company(text, found)])
         columns = [pa.array(spans, pa.list_(pa.struct(span))), pa.array(nears, pa.list_(pa.struct(near)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [KEY, ROW, "spans", "near"])
 
@@ -133,6 +138,48 @@ def revealing_terms(near: DataFrame, counts: DataFrame, disclosure: float, suppo
     return joined.select("kind", "term", share.alias("share")).where(F.col("share") >= disclosure)
 
 
+def telling_terms(near: DataFrame, counts: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(term): terms that reveal one single entity, whatever its kind, such as the name beside an address.
+
+    As ``revealing_terms``, but over distinct texts: a term and an entity met in ``support`` texts that differ or more,
+    and the share is that of the entity's own information. ``counts`` has all occurrences, those in copies too, so
+    where a text is copied often the share is taken low.
+    """
+    met = near.select("entity", "term", "text").distinct()
+    together = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    texts = near.select("entity", "text").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    joined = together.join(counts, "term").join(texts, "entity")
+    lift = F.log(F.col("both") * float(total) / (F.greatest("n", "both") * F.col("of_entity")))
+    share = lift / F.log(F.lit(float(total)) / F.col("of_entity"))
+    return joined.where(share >= disclosure).select("term").distinct()
+
+
+def _placed(bits):
+    """Where terms stand that may be among those of a filter, outside of protected entities."""
+    place = pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        memo = Memo(lambda term: xxhash.xxh64_intdigest(term, 42))  # as Spark hashes a string
+        for batch in batches:
+            places = []
+            for text in batch.column(1).to_pylist():
+                words = list(WORD.finditer(text)) if held.any() else []
+                terms = [w[0].lower() for w in words]
+                hashes = np.fromiter(map(memo.__getitem__, terms), np.uint64, len(terms))
+                hits = np.flatnonzero(_may_hold(held, hashes)).tolist()
+                taken = entities(text) if hits else []
+                places.append([
+                    {"term": terms[n], "start": words[n].start(), "stop": words[n].end()}
+                    for n in hits
+                    if not any(a < words[n].end() and words[n].start() < b for _, a, b in taken)
+                ])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(place))], [KEY, "places"])
+
+    return run
+
+
 def _sanitised(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, spans in batches:
         cleaned = []
@@ -164,21 +211,29 @@ def disclosing_cells(
     Returns one row per row of the table: (row_key, row_index, spans), spans being (kind, start, stop) in code points,
     sorted by start, then kind in the order email, ip, card, phone, term. Entities of a kind do not overlap; those of
     different kinds may. A term is a span where it stands within ``NEAR`` words of an entity of a kind it reveals: one
-    it met ``support`` times or more, disclosing ``disclosure`` of the kind's information (see ``revealing_terms``).
+    it met ``support`` times or more, disclosing ``disclosure`` of the kind's information (see ``revealing_terms``). A
+    term that reveals one single entity (see ``telling_terms``) is a span wherever it stands in any cell.
     ``sanitised`` puts kinds in place of spans. Missing, empty and clean cells have no spans. Repeated rows are judged
     each. Empty tables give no rows. Other columns are not read.
 
     Entities with their company are found in one pass and stored; all words of all cells are counted in another,
     summed per task before they are shuffled. Terms meet the stored company by a join, which adaptive execution splits
-    where a term is very common.
+    where a term is very common. A filter of fixed size finds the places of terms that reveal a single entity in a last
+    pass; a join decides.
     """
     cells = keyed(rows, cell, row_index, row_key)
-    near = "array<struct<kind string, entity long, term string, start int, stop int>>"
+    near = "array<struct<kind string, entity long, term string, start int, stop int, text long>>"
     scanned = cut(cells.mapInArrow(_scanned, f"{KEY} long, {ROW} long, spans array<struct<{SPAN}>>, near {near}"))
     company_of = scanned.select(KEY, F.inline("near"))
     words = cells.select(CELL).mapInArrow(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    revealing = revealing_terms(company_of, cut(words), disclosure, support)
-    told = company_of.join(revealing, ["kind", "term"]).select(KEY, "start", "stop").distinct()
+    words = cut(words)
+    revealing = revealing_terms(company_of, words, disclosure, support)
+    telling = cut(telling_terms(company_of, words, disclosure, support))
+    bits = rows.sparkSession.sparkContext.broadcast(_filter(telling.select(F.xxhash64("term").alias("gram"))))
+    places = cells.select(KEY, CELL).mapInArrow(_placed(bits), f"{KEY} long, places array<struct<term string, start int, stop int>>")
+    anywhere = places.where(F.size("places") > 0).select(KEY, F.inline("places")).join(telling, "term", "left_semi")
+    beside = company_of.join(revealing, ["kind", "term"])
+    told = beside.select(KEY, "start", "stop").unionByName(anywhere.select(KEY, "start", "stop")).distinct()
     ranks = F.array(*map(F.lit, (*KINDS, TERM)))
 
     def ranked(start: Column, rank: Column, stop: Column) -> Column:
