@@ -25,6 +25,7 @@ STEM = 4  # bytes of the shortest beginning of a word that may tell toxic text
 SHARE = 0.008  # of the toxic fit rows that must have a word or stem before it enters the toxic dictionary
 LEAST = 5  # such rows at least
 ODDS = 12.0  # times more frequent among toxic fit rows than among ordinary ones, for the same
+WORDS = 120_000  # words whose saving a worker remembers: working one out means compressing it twice
 TAIL = b"\0" * 64  # behind the windows, as the last bytes of a dictionary are not indexed
 STEPS = tuple(round(0.4 + 0.05 * n, 2) for n in range(10))  # thresholds that calibration chooses from
 
@@ -55,7 +56,7 @@ class Scorer:
         self.model = model
         self._ordinary = self._compressor(model.ordinary)
         self._toxic = self._compressor(model.toxic)
-        self._saving = Memo(self._saved)
+        self._saving = Memo(self._saved, WORDS)
 
     @staticmethod
     def _compressor(content: bytes):

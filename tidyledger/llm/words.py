@@ -23,15 +23,16 @@ class Memo(dict):
     Two generations bound its memory, the older one goes when one is full; words of any length are not kept.
     """
 
-    def __init__(self, value):
+    def __init__(self, value, known: int = KNOWN):
         super().__init__()
         self._value = value
+        self._known = known
         self._old: dict = {}
 
     def __missing__(self, word):
         if len(word) > LONGEST:
             return self._value(word)
-        if len(self) >= KNOWN:
+        if len(self) >= self._known:
             self._old = dict(self)
             self.clear()
         value = self._old.get(word)
