@@ -158,6 +158,12 @@ def std_change_log_cap(spark, sf_dir):
     return log.select(*_LOG.split(", "))
 
 
+@query("std_change_log", f"{CONTACT_CHANGES} SELECT {_LOG} FROM changes")
+def std_change_log(spark, sf_dir):
+    """The whole log: without a limit nothing is cut."""
+    return _contacts(spark, sf_dir).changes.select(*_LOG.split(", "))
+
+
 @query("std_twice_changes_nothing", "SELECT count(*) AS rows, 0 AS total_changes_count FROM customer")
 def std_twice_changes_nothing(spark, sf_dir):
     first = _contacts(spark, sf_dir)
