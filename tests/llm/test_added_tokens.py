@@ -55,15 +55,17 @@ def test_packing(spark, data, ids):
 def test_scores(spark, data, ids):
     own = [Counter(zip(["start", *i[:-1]], i)) for i in ids]
     table = sum(own, Counter())
-    before, word = Counter(), Counter()
-    for (v, w), n in table.items():
-        before[v] += n
-        word[w] += n
+    starts = [Counter(["start", *i[:-1]] if i else []) for i in ids]
+    before, word, total = sum(starts, Counter()), Counter(t for i in ids for t in i), sum(map(len, ids))
 
-    def one(g, n):
+    def one(doc, g, n):
+        """All counts are those of the other cells; a token that none of them has counts once."""
         rest = table[g] - n
-        return math.log10(rest / before[g[0]]) if rest else math.log10(0.4 * word[g[1]] / sum(table.values()))
+        if rest:
+            return math.log10(rest / (before[g[0]] - starts[doc][g[0]]))
+        return math.log10(0.4 * max(word[g[1]] - ids[doc].count(g[1]), 1) / max(total - len(ids[doc]), 1))
 
     for r in queries.QUERIES["op7_stupid_backoff_scores"](spark, data).collect():
         assert r.n_tokens == len(ids[r.doc_id])
-        assert r.score == pytest.approx(sum(n * one(g, n) for g, n in own[r.doc_id].items()), abs=1e-6)
+        expected = sum(n * one(r.doc_id, g, n) for g, n in own[r.doc_id].items())
+        assert r.score == pytest.approx(expected, abs=1e-6)
